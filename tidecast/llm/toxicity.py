@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models of the characters of words.
 
 Two models, of toxic and of ordinary labelled documents, predict each character of a
-word from the four before it. Their discounted mass backs off to one shared model whose
+word from the seven before it. Their discounted mass backs off to one shared model whose
 counts are continuation counts over both classes, so an expression seen once or never
 is judged by its shorter parts. A word's evidence is its toxic minus its ordinary
 log-likelihood; a document is described by its length-normalised evidence and by that
@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from .common import cut, held_out
 from .quality import label_rows
 
-ORDER = 5
+ORDER = 8
 DISCOUNT = 0.75
 #: Slots of the hashed count tables: a fixed size at which the model is broadcast.
-GRAM_BITS = 20
-CONTEXT_BITS = 19
+GRAM_BITS = 21
+CONTEXT_BITS = 20
 #: Bound of the labelled sample on which the calibration is fitted.
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
-FEATURES = 4
+FEATURES = 9
 
 _WORDS = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -170,8 +170,9 @@ class Evidence(dict):
         for i, w in enumerate(words):
             if w:
                 e = np.fromiter(map(self.__getitem__, w), float, len(w))
-                top = np.sort(np.partition(e, max(0, len(e) - 3))[-3:])[::-1]
-                out[i] = (e.sum() / (sum(map(len, w)) + len(w)), top[0], top[:2].mean(), top.mean())
+                top = np.sort(np.partition(e, max(0, len(e) - 5))[-5:])[::-1]
+                over = [np.maximum(e - least, 0).sum() for least in (1, 2, 3)]
+                out[i] = (e.sum() / (sum(map(len, w)) + len(w)), top[0], top[:2].mean(), top.mean(), *np.log1p(over), np.log1p(100 * over[1] / len(w)), np.log(len(w)))
         return out
 
 
