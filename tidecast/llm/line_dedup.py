@@ -73,23 +73,22 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order = F.struct("doc", "th", "line_no")
     firsts = cut(rows.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
 
-    def halves(m: Column) -> Column:
-        return F.array(
-            F.struct(m.alias("m"), F.lit(0).alias("lo"), F.floor(m / 2).cast("int").alias("hi")),
-            F.struct(m.alias("m"), F.floor(m / 2).cast("int").alias("lo"), m.alias("hi")),
-        )
-
     # the halves are hashed where the lines are read, so no text moves for lines that share none
-    n = F.length("line")
-    cuts = F.flatten(F.transform(F.array(n, n + 1), halves))
-    key = F.transform(
-        cuts,
-        lambda c: F.struct(
-            c["m"].alias("m"), c["lo"].alias("lo"), c["hi"].alias("hi"),
-            F.xxhash64(c["m"], c["lo"], F.substring("line", F.lit(1), c["lo"]), F.substring("line", F.length("line") - (c["m"] - c["hi"]) + 1, c["m"] - c["hi"])).alias("key"),
-        ),
+    sized = rows.select("h", "line", F.length("line").alias("n"))
+    half = F.col("n").bitwiseAND(1)  # of n + 1 when n is odd, the first half is one longer
+
+    def cut_out(m: Column, lo: Column, hi: Column, outside: Column) -> Column:
+        return F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"), F.xxhash64(m, lo, outside).alias("key"))
+
+    n, k = F.col("n"), F.shiftright("n", 1)
+    longer, k1 = n + 1, F.shiftright("n", 1) + half
+    cuts = F.array(
+        cut_out(n, F.lit(0), k, F.substring("line", k + 1, n - k)),
+        cut_out(n, k, n, F.substring("line", F.lit(1), k)),
+        cut_out(longer, F.lit(0), k1, F.substring("line", n - (longer - k1) + 1, longer - k1)),
+        cut_out(longer, k1, longer, F.substring("line", F.lit(1), k1)),
     )
-    keyed = rows.select("h", F.inline(key))
+    keyed = sized.select("h", F.inline(cuts))
     ranges = cut(bounded_semi(keyed, cut(shared_keys(keyed)), "key").select("h", "m", "lo", "hi").distinct())
     found = bounded_semi(rows.select("h", "line"), ranges.select("h").distinct(), "h")
     lines = cut(found.groupBy("h").agg(F.min("line").alias("line")))
@@ -124,7 +123,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     drops = drops.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.withColumn("__of", F.xxhash64(text)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left"
+        drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left"
     )
     parts = F.split(F.col(text_col).cast("string"), "\n")
     stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drops")))
