@@ -11,7 +11,9 @@ Calibration uses each half of the labelled rows under the model of the other hal
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -130,6 +132,20 @@ class Model:
             out[c][data["slot"].to_numpy()] = data[c].to_numpy()
         return out
 
+    def packed(self, folds: bool) -> bytes:
+        """The tables compressed, for a broadcast; without ``folds`` only what all labels together need."""
+        tables = dict(vars(self))
+        if not folds:
+            tables["grams"] = {f"{k}": self.grams[f"{k}0"] + self.grams[f"{k}1"] for k in "to"}
+            tables["contexts"] = {f"{k}": self.contexts[f"{k}0"] + self.contexts[f"{k}1"] for k in "to"} | {f"k_{k}": self.contexts[f"k_{k}"] for k in "to"}
+        return zlib.compress(pickle.dumps(tables, protocol=5), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Model:
+        model = cls.__new__(cls)
+        vars(model).update(pickle.loads(zlib.decompress(data)))
+        return model
+
     def log_ratio(self, words: list[str], fold: int | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         owner, gram, context = grams(words)
@@ -142,11 +158,8 @@ class Model:
         g, x = slots(gram[-1], GRAM_BITS), slots(context[-1], CONTEXT_BITS)
         logs = []
         for kind in "to":
-            if fold is None:
-                count = self.grams[f"{kind}0"][g] + self.grams[f"{kind}1"][g]
-                total, kinds = self.contexts[f"{kind}0"][x] + self.contexts[f"{kind}1"][x], self.contexts[f"k_{kind}"][x]
-            else:
-                count, total, kinds = self.grams[f"{kind}{fold}"][g], self.contexts[f"{kind}{fold}"][x], self.contexts[f"k_{kind}{fold}"][x]
+            name = kind if fold is None else f"{kind}{fold}"
+            count, total, kinds = self.grams[name][g], self.contexts[name][x], self.contexts[f"k_{name}"][x]
             # one more shared observation of mass DISCOUNT steadies contexts that a class has hardly seen
             logs.append(np.log((np.maximum(count - DISCOUNT, 0) + DISCOUNT * (kinds + 1) * p) / (np.maximum(total, 0) + DISCOUNT)))
         return np.bincount(owner, logs[0] - logs[1], len(words))
@@ -200,7 +213,8 @@ def features(docs: DataFrame, model, id_col: str, text_col: str, fold_col: str |
     """``doc_id, x``; with ``fold_col`` each row is judged by the model of that fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {f: Evidence(model.value, f) for f in ((None,) if fold_col is None else (0, 1))}
+        tables = Model.unpacked(model.value)
+        own = {f: Evidence(tables, f) for f in ((None,) if fold_col is None else (0, 1))}
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -223,12 +237,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     texts = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(side, "lab_id")
     table = cut(gram_counts(word_counts(texts.select("text", "fold", "y"))))
-    model = docs.sparkSession.sparkContext.broadcast(Model(table))
+    context, tables = docs.sparkSession.sparkContext, Model(table)
+    halves = context.broadcast(tables.packed(folds=True))
     sample = known.orderBy(F.xxhash64(F.lit(1), "lab_id"), "lab_id").limit(CALIBRATION_ROWS)
     chosen = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "lab_id")
     # the fold that was not learned from
-    x = features(chosen.withColumn("other", 1 - F.col("fold")), model, "lab_id", "text", "other").join(F.broadcast(sample.select(F.col("lab_id").alias("doc_id"), "y")), "doc_id")
+    x = features(chosen.withColumn("other", 1 - F.col("fold")), halves, "lab_id", "text", "other").join(F.broadcast(sample.select(F.col("lab_id").alias("doc_id"), "y")), "doc_id")
     rows = x.orderBy("doc_id", "x").toPandas()
+    halves.destroy()
+    model = context.broadcast(tables.packed(folds=False))
     values = np.frombuffer(b"".join(rows["x"]), float).reshape(-1, FEATURES)
     return model, Calibration(values, rows["y"].to_numpy(int))
 
@@ -257,7 +274,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(model.value, None)
+        evidence = Evidence(Model.unpacked(model.value), None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
