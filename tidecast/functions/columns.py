@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DAY_MICROS = 86_400_000_000
 YEAR_DAYS = 365.25
@@ -125,14 +126,14 @@ def poisson_pmf(rate: Column, k: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, k.cast("double")) / F.factorial(k)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility form, single spaces, case folded: for lookups over distinct names."""
     for names in batches:
         yield names.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).split()).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda s: None if s is None else html.unescape(s))
