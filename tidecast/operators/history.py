@@ -123,11 +123,13 @@ def streaks(rows: DataFrame) -> DataFrame:
     pairs = asked.withColumn("mo", month(F.col("k"))).join(late, ["team", "mo"]).where("k0 < k and k <= k1")
     pending = pairs.groupBy("match_id", "side").agg(F.collect_list("seq").alias("pending"))
     out = broken.join(pending, ["match_id", "side"], "left")
-    count = {
-        n: F.coalesce(F.col("started"), F.lit(0)) - F.coalesce(F.col(n), F.lit(0)) - F.size(F.filter(F.coalesce("pending", F.array().cast("array<int>")), lambda s, n=n: s > F.coalesce(F.col(n), F.lit(0))))
-        for n in breaks
-    }
-    return out.select("match_id", "side", *(c.cast("double").alias(n) for n, c in count.items()))
+    none = F.array().cast("array<int>")
+
+    def length(name: str) -> Column:
+        last = F.coalesce(F.col(name), F.lit(0))
+        return F.coalesce(F.col("started"), F.lit(0)) - last - F.size(F.filter(F.coalesce(F.col("pending"), none), lambda seq: seq > last))
+
+    return out.select("match_id", "side", *(length(n).cast("double").alias(n) for n in breaks))
 
 
 def rolling_features(matches: DataFrame, windows: Sequence[int] = (5, 10), *, half_life_days: float = 365.0, available_col: str = "available_at", elo=None) -> DataFrame:

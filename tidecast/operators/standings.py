@@ -53,12 +53,16 @@ def best_thirds(ranked: DataFrame, take: int = 8, group: str = "grp") -> DataFra
     return thirds.orderBy(*order).limit(take)
 
 
-def allocation_violations(allocations: DataFrame, groups: str = "groups") -> DataFrame:
-    """``key, rule``: rows whose key is not eight distinct groups or that do not assign each of them once; repeated keys."""
-    key = F.array_sort(F.split(groups, ""))
-    slots = [c for c in allocations.columns if c != groups]
-    assigned = F.array_sort(F.array(*slots))
-    rows = allocations.select(F.array_join(key, "").alias("key"), (F.size(F.array_distinct(key)) != 8).alias("bad_key"), (assigned != key).alias("bad_slots"))
+def allocation_violations(allocations: DataFrame, groups: str = "groups", ident: str | None = None) -> DataFrame:
+    """``key, rule``: rows whose key is not eight distinct groups or that do not assign each of them once; repeated keys.
+
+    The key is the sorted groups, or ``ident`` where that column is given.
+    """
+    letters = F.array_sort(F.split(groups, ""))
+    slots = [c for c in allocations.columns if c not in (groups, ident)]
+    rows = allocations.select(
+        (F.col(ident) if ident else F.array_join(letters, "")).alias("key"), (F.size(F.array_distinct(letters)) != 8).alias("bad_key"), (F.array_sort(F.array(*slots)) != letters).alias("bad_slots")
+    )
     bad = rows.select("key", F.explode(F.filter(F.array(F.when(F.col("bad_key"), "not eight groups"), F.when(F.col("bad_slots"), "not each once")), lambda r: r.isNotNull())).alias("rule"))
     twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit("repeated key").alias("rule"))
     return bad.unionByName(twice)
