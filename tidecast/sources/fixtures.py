@@ -54,7 +54,7 @@ select concat('S', cast(s as varchar(20)), '-', cast(q as varchar(20))) as snaps
        cast(n as double) / 10 as start_probability, cast(q % 90 as double) as expected_minutes, cast(18 + p % 20 as double) as age_years,
        concat('C', cast(p % 7 as varchar(20))) as club
 from (select l_suppkey s, l_partkey p, year(l_shipdate) * 4 + quarter(l_shipdate) q, date_trunc('quarter', min(l_shipdate)) + interval '3' month as q_end,
-             min(l_returnflag) flag, round(avg(l_extendedprice / l_quantity) / 1000, 4) price, sum(l_linenumber) n
+             min(l_returnflag) flag, cast(cast(sum(l_quantity) as bigint) % 97 as double) price, sum(l_linenumber) n
       from {lineitem} group by l_suppkey, l_partkey, year(l_shipdate) * 4 + quarter(l_shipdate)) x""",
 }
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
@@ -89,6 +89,8 @@ def with_views(sql: str, *names: str) -> str:
     own = sql.strip()
     if not parts:
         return own
+    if own.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(parts) + ",\n" + own[15:]
     if own.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + own[5:]
     return "with " + ",\n".join(parts) + "\n" + own
