@@ -82,3 +82,15 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     side = ids.select(F.col(name).alias("__id"))
     side = F.broadcast(side) if ids.count() <= BROADCAST_IDS else side
     return docs.join(side, F.col(id_col) == F.col("__id"), "left_anti")
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, of: int) -> DataFrame:
+    """About ``rows`` of the ``of`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more.
+
+    A plain filter: no task sends more than its share to the driver. The final
+    limit only cuts what the hash leaves over the bound by chance.
+    """
+    if of <= rows:
+        return df
+    share = int(rows / of * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < share).limit(rows + rows // 8)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import bounded_sample, cut, held_out
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -212,10 +212,9 @@ def score_quality(
     all scores are the smoothed share of label 1. Repeated rows and null ids stay.
     """
     features = cut(pooled(docs, unit_vectors(context_vectors(docs, text_col)), id_col, text_col))
-    sample = (
-        features.join(label_rows(labels, label_col, label_id), F.col("doc_id") == F.col("lab_id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(TRAIN_ROWS).select("x", "y").toPandas()
-    )
+    known = cut(label_rows(labels, label_col, label_id))
+    chosen = bounded_sample(known, "lab_id", TRAIN_ROWS, known.count())
+    sample = features.join(F.broadcast(chosen), F.col("doc_id") == F.col("lab_id")).select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, 2 * DIMS + 1).astype(float)
     network = Network(x, sample["y"].to_numpy(int))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import bounded_sample, components, cut
 
 #: Bound of the sample on which the tree is fitted, and of what is searched at once.
 SAMPLE_ROWS = 32_768
@@ -158,7 +158,7 @@ def near_duplicates(fps: DataFrame, *, reach: int = 2) -> DataFrame:
     spark = fps.sparkSession
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).select("fp").toPandas()
+    sample = bounded_sample(distinct, "fp", SAMPLE_ROWS, n).select("fp").toPandas().sort_values("fp")
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / LEAF_ROWS))))))
     tree = Tree(sample["fp"].to_numpy(np.int64).view(np.uint64), depth, reach)
 

@@ -11,21 +11,24 @@ Calibration uses each half of the labelled rows under the model of the other hal
 
 from __future__ import annotations
 
-import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import bounded_sample, cut, held_out
 from .quality import label_rows
 
-ORDER = 8
+#: Lengths of the character grams, from the shared model's shortest to the class models'.
+ORDERS = (1, 3, 5, 8)
+ORDER = ORDERS[-1]
+CHUNK_BITS = 14
 DISCOUNT = 0.75
 #: Slots of the hashed count tables: a fixed size at which the model is broadcast.
 GRAM_BITS = 21
@@ -42,7 +45,7 @@ COUNTS = ["t0", "o0", "t1", "o1"]
 
 def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """For the characters to predict in ``words`` (each with an end mark): the word of each,
-    and for orders 1..ORDER the hashes of the gram and of its context."""
+    and for each of ORDERS the hashes of the gram and of its context."""
     c = np.frombuffer("".join("\x02" * (ORDER - 1) + w + "\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     lengths = np.array([len(w) for w in words], np.int64) + ORDER
     ends = np.cumsum(lengths)
@@ -51,11 +54,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
         places[ends - lengths + k] = False
     at = np.flatnonzero(places)
     owner = np.repeat(np.arange(len(words)), lengths - ORDER + 1)
-    contexts = [np.zeros(len(at), np.uint64)]
-    for n in range(1, ORDER):
-        contexts.append(contexts[-1] + mix(c[at - n] + np.uint64(n << 32)))
-    last = mix(c[at] * _P)
-    return owner, [mix(last + mix(x + np.uint64(n))) for n, x in enumerate(contexts)], [mix(x + np.uint64(n)) for n, x in enumerate(contexts)]
+    last, context = mix(c[at] * _P), np.zeros(len(at), np.uint64)
+    whole, contexts = [], []
+    for n in range(1, ORDER + 1):
+        if n in ORDERS:
+            contexts.append(mix(context + np.uint64(n)))
+            whole.append(mix(last + contexts[-1]))
+        if n < ORDER:
+            context = mix(context + c[at - n] + np.uint64(n << 32))
+    return owner, whole, contexts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +91,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """``n, gram, context, suffix`` (hashes; the suffix is the next shorter gram) and counts."""
+    """``n, gram, context, suffix`` (hashes; the suffix is the gram of the next shorter order) and counts."""
     names = ["n", "gram", "context", "suffix", *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,65 +100,74 @@ def gram_counts(words: DataFrame) -> DataFrame:
                 continue
             owner, gram, context = grams(batch.column(0).to_pylist())
             counts = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)[owner]
-            for n in range(1, ORDER + 1):
-                keys, first, back = np.unique(gram[n - 1], return_index=True, return_inverse=True)
-                sums = np.zeros((len(keys), 4), np.int64)
-                np.add.at(sums, back, counts)
-                suffix = gram[n - 2][first] if n > 1 else np.zeros(len(keys), np.uint64)
+            for i, n in enumerate(ORDERS):
+                keys, first, back = np.unique(gram[i], return_index=True, return_inverse=True)
+                sums = [np.bincount(back, c, len(keys)).astype(np.int64) for c in counts.T]
+                suffix = gram[i - 1][first] if i else np.zeros(len(keys), np.uint64)
                 yield pa.record_batch(
-                    [pa.array(np.full(len(keys), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[n - 1][first], suffix)), *(pa.array(s) for s in sums.T)],
-                    names=names,
+                    [pa.array(np.full(len(keys), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[i][first], suffix)), *map(pa.array, sums)], names=names
                 )
 
     rows = words.mapInArrow(run, "n int, gram long, context long, suffix long, " + ", ".join(f"{c} long" for c in COUNTS))
     return rows.groupBy("n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
-class Model:
-    """Hashed count tables; ``log_ratio`` compares the classes by the labels of one fold or all."""
+def dense(rows: DataFrame, names: list[str]) -> tuple[list[str], dict[int, bytes]]:
+    """``slot`` and counts as compressed stretches of dense arrays, made by the tasks; the driver only passes them on."""
+    size = 1 << CHUNK_BITS
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(names), size), np.int32)
+        out[:, pdf["slot"].to_numpy() & (size - 1)] = pdf[names].to_numpy().T
+        return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) >> CHUNK_BITS], "data": [zlib.compress(out.tobytes(), 1)]})
+
+    counts = rows.select("slot", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in names))
+    parts = counts.groupBy(F.shiftright("slot", CHUNK_BITS).alias("of")).applyInPandas(build, "chunk long, data binary")
+    return names, {r["chunk"]: r["data"] for r in parts.collect()}
+
+
+def opened(packed: tuple[list[str], dict[int, bytes]], bits: int) -> dict[str, np.ndarray]:
+    names, parts = packed
+    out = np.zeros((len(names), 1 << bits), np.int32)
+    for chunk, data in parts.items():
+        out[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(data), np.int32).reshape(len(names), -1)
+    return dict(zip(names, out))
 
-    def __init__(self, table: DataFrame):
-        """``table``: the result of ``gram_counts``, materialised. Collects sums by slot, never grams."""
-        bits = {c: F.shiftrightunsigned(F.col(c), 64 - b).alias("slot") for c, b in (("gram", GRAM_BITS), ("context", CONTEXT_BITS))}
-        top = table.where(F.col("n") == ORDER)
-        self.grams = self._fill(top.groupBy(bits["gram"]).agg(*(F.sum(c).alias(c) for c in COUNTS)), GRAM_BITS, COUNTS)
-        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"k_{c}") for c in COUNTS] + [F.sum((F.col(a) + F.col(b) > 0).cast("long")).alias(f"k_{a[0]}") for a, b in (("t0", "t1"), ("o0", "o1"))]
-        names = [*COUNTS, *(f"k_{c}" for c in COUNTS), "k_t", "k_o"]
-        self.contexts = self._fill(top.groupBy(bits["context"]).agg(*(F.sum(c).alias(c) for c in COUNTS), *kinds), CONTEXT_BITS, names)
-        # shared model: how many different longer grams end in this one
-        ends = table.where("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("ends"))
-        shared = table.where(F.col("n") < ORDER).join(ends, ["n", "gram"])
-        self.ends = self._fill(shared.groupBy(bits["gram"]).agg(F.sum("ends").alias("ends")), GRAM_BITS, ["ends"])
-        self.totals = self._fill(shared.groupBy(bits["context"]).agg(F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("kinds")), CONTEXT_BITS, ["ends", "kinds"])
-
-    @staticmethod
-    def _fill(rows: DataFrame, bits: int, names: list[str]) -> dict[str, np.ndarray]:
-        data = rows.select("slot", *(F.col(c).cast("int") for c in names)).toPandas()
-        out = {c: np.zeros(1 << bits, np.int32) for c in names}
-        for c in names:
-            out[c][data["slot"].to_numpy()] = data[c].to_numpy()
-        return out
 
-    def packed(self, folds: bool) -> bytes:
-        """The tables compressed, for a broadcast; without ``folds`` only what all labels together need."""
-        tables = dict(vars(self))
-        if not folds:
-            tables["grams"] = {f"{k}": self.grams[f"{k}0"] + self.grams[f"{k}1"] for k in "to"}
-            tables["contexts"] = {f"{k}": self.contexts[f"{k}0"] + self.contexts[f"{k}1"] for k in "to"} | {f"k_{k}": self.contexts[f"k_{k}"] for k in "to"}
-        return zlib.compress(pickle.dumps(tables, protocol=5), 1)
+def tables(table: DataFrame) -> tuple[dict, dict]:
+    """(by fold, over all labels): the packed tables of ``gram_counts``' result (materialised), sums by slot."""
+    gram, context = (F.shiftrightunsigned(F.col(c), 64 - b).alias("slot") for c, b in (("gram", GRAM_BITS), ("context", CONTEXT_BITS)))
+    top = table.where(F.col("n") == ORDER).withColumns({k: F.col(f"{k}0") + F.col(f"{k}1") for k in "to"})
+    # shared model: how many different grams of the next longer order end in this one
+    below = F.create_map(*(F.lit(x) for pair in zip(ORDERS[1:], ORDERS[:-1]) for x in pair))
+    ends = table.where("n > 1").groupBy(below[F.col("n")].alias("n"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("ends"))
+    shared = table.where(F.col("n") < ORDER).join(ends, ["n", "gram"])
+    common = {
+        "ends": dense(shared.groupBy(gram).agg(F.sum("ends").alias("ends")), ["ends"]),
+        "totals": dense(shared.groupBy(context).agg(F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("kinds")), ["ends", "kinds"]),
+    }
+
+    def classes(names: list[str]) -> dict:
+        sums = [F.sum(c).alias(c) for c in names]
+        kinds = [F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in names]
+        return common | {"grams": dense(top.groupBy(gram).agg(*sums), names), "contexts": dense(top.groupBy(context).agg(*sums, *kinds), [*names, *(f"k_{c}" for c in names)])}
+
+    return classes(COUNTS), classes(["t", "o"])
+
+
+class Model:
+    """Hashed count tables; ``log_ratio`` compares the classes by the labels of one fold or all."""
 
-    @classmethod
-    def unpacked(cls, data: bytes) -> Model:
-        model = cls.__new__(cls)
-        vars(model).update(pickle.loads(zlib.decompress(data)))
-        return model
+    def __init__(self, packed: dict):
+        self.grams, self.ends = (opened(packed[k], GRAM_BITS) for k in ("grams", "ends"))
+        self.contexts, self.totals = (opened(packed[k], CONTEXT_BITS) for k in ("contexts", "totals"))
 
     def log_ratio(self, words: list[str], fold: int | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         owner, gram, context = grams(words)
         p = np.full(len(owner), 1e-4)
-        for n in range(1, ORDER):
-            g, x = slots(gram[n - 1], GRAM_BITS), slots(context[n - 1], CONTEXT_BITS)
+        for i in range(len(ORDERS) - 1):
+            g, x = slots(gram[i], GRAM_BITS), slots(context[i], CONTEXT_BITS)
             total, kinds = self.totals["ends"][x], self.totals["kinds"][x]
             own = np.maximum(self.ends["ends"][g] - DISCOUNT, 0)
             p = np.where(total > 0, (own + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
@@ -213,8 +229,8 @@ def features(docs: DataFrame, model, id_col: str, text_col: str, fold_col: str |
     """``doc_id, x``; with ``fold_col`` each row is judged by the model of that fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Model.unpacked(model.value)
-        own = {f: Evidence(tables, f) for f in ((None,) if fold_col is None else (0, 1))}
+        counts = Model(model.value)
+        own = {f: Evidence(counts, f) for f in ((None,) if fold_col is None else (0, 1))}
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -237,15 +253,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     texts = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(side, "lab_id")
     table = cut(gram_counts(word_counts(texts.select("text", "fold", "y"))))
-    context, tables = docs.sparkSession.sparkContext, Model(table)
-    halves = context.broadcast(tables.packed(folds=True))
-    sample = known.orderBy(F.xxhash64(F.lit(1), "lab_id"), "lab_id").limit(CALIBRATION_ROWS)
+    by_fold, whole = tables(table)
+    context = docs.sparkSession.sparkContext
+    halves, model = context.broadcast(by_fold), context.broadcast(whole)
+    sample = cut(bounded_sample(known, "lab_id", CALIBRATION_ROWS, known.count()))
     chosen = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "lab_id")
     # the fold that was not learned from
     x = features(chosen.withColumn("other", 1 - F.col("fold")), halves, "lab_id", "text", "other").join(F.broadcast(sample.select(F.col("lab_id").alias("doc_id"), "y")), "doc_id")
-    rows = x.orderBy("doc_id", "x").toPandas()
+    rows = x.toPandas().sort_values(["doc_id", "x"])
     halves.destroy()
-    model = context.broadcast(tables.packed(folds=False))
     values = np.frombuffer(b"".join(rows["x"]), float).reshape(-1, FEATURES)
     return model, Calibration(values, rows["y"].to_numpy(int))
 
@@ -274,7 +290,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(Model.unpacked(model.value), None)
+        evidence = Evidence(Model(model.value), None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
