@@ -79,12 +79,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` and its counts by fold and class, over ``text, fold, y``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter() for _ in COUNTS]
+
+        def flush() -> pa.RecordBatch:
+            words = list(set().union(*counts))
+            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", *COUNTS])
+            for c in counts:
+                c.clear()
+            return out
+
         for batch in batches:
-            counts = [Counter() for _ in COUNTS]
             for text, fold, y in zip(*(c.to_pylist() for c in batch.columns)):
                 counts[2 * fold + (0 if y else 1)].update(_WORDS.findall((text or "").lower()))
-            words = list(set().union(*counts))
-            yield pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", *COUNTS])
+                if sum(map(len, counts)) > 200_000:
+                    yield flush()
+        yield flush()
 
     rows = texts.mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
     return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
@@ -188,12 +197,12 @@ class Evidence(dict):
         self.model, self.fold = model, fold
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         words = [_WORDS.findall((t or "").lower()) for t in texts]
         new = list(set().union(*map(set, words)) - self.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 5_000):
+            part = new[a : a + 5_000]
             self.update(zip(part, self.model.log_ratio(part, self.fold).tolist()))
         out = np.zeros((len(texts), FEATURES))
         for i, w in enumerate(words):
