@@ -1,6 +1,9 @@
 """Every query with an oracle gives DuckDB's rows at the smallest scale; the rest run."""
 
+from numbers import Number
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +27,9 @@ def canonical(df: pd.DataFrame) -> list:
     def cell(v):
         if v is None or v is pd.NaT or v is pd.NA or v != v:
             return None
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        return float(v) if isinstance(v, Number) else str(v)
 
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
