@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, components, cut
 
-#: Bound of the sample on which the tree is fitted, and of what is searched at once.
+#: The sample on which the tree is fitted has at least so many rows, and so many for each leaf;
+#: at the largest depth that is 1,048,576 fingerprints of 8 bytes.
 SAMPLE_ROWS = 32_768
+SAMPLE_PER_LEAF = 16
+MAX_DEPTH = 16
+#: Rows of a leaf that the depth aims at, and rows of a block of a leaf that is still too large.
 LEAF_ROWS = 4096
-MAX_DEPTH = 12
 BLOCK_ROWS = 16_384
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -158,8 +161,8 @@ def near_duplicates(fps: DataFrame, *, reach: int = 2) -> DataFrame:
     spark = fps.sparkSession
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     n = distinct.count()
-    sample = bounded_sample(distinct, "fp", SAMPLE_ROWS, n).select("fp").toPandas().sort_values("fp")
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / LEAF_ROWS))))))
+    sample = bounded_sample(distinct, "fp", max(SAMPLE_ROWS, SAMPLE_PER_LEAF << depth), n).select("fp").toPandas().sort_values("fp")
     tree = Tree(sample["fp"].to_numpy(np.int64).view(np.uint64), depth, reach)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
