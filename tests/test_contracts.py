@@ -198,3 +198,8 @@ def test_scorers(spark):
     got = {r.match_id: r for r in scorers.scorer_features(m, g).collect()}
     assert got["1"].team1_scorer_active_players == 0 and got["2"].team1_scorer_active_players == 2 and got["2"].team1_scorer_penalty_share == 0.5
     assert got["2"].team1_scorer_coverage == 1 and got["3"].team1_scorer_history_matches == 0
+
+
+def test_whole_numbers(spark):
+    df = spark.createDataFrame([("3",), ("-1",), ("0.5",), ("x",), (None,), ("99999999999",), (" 7 ",)], "v string")
+    assert [r[0] for r in df.select(C.nonnegative_int("v")).collect()] == [3, None, None, None, None, None, 7]

@@ -58,7 +58,7 @@ def parse_boolean(c: str | Column) -> Column:
 def nonnegative_int(c: str | Column) -> Column:
     """A whole number of at least 0, else null."""
     number = col(c).try_cast("double")
-    return F.when((number >= 0) & (number == F.floor(number)), number.cast("int"))
+    return F.when((number >= 0) & (number == F.floor(number)), number.try_cast("int"))
 
 
 def text(c: str | Column) -> Column:
