@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import cut, read_table, shared_root, without
 from tidecast.llm.decontaminate import decontaminate
 from tidecast.llm.line_dedup import dedup_lines
+from tidecast.llm.near_copies import near_copies
 from tidecast.llm.packing import pack
-from tidecast.llm.simhash import fingerprints, near_duplicates
 from tidecast.llm.toxicity import drop_toxic
 
 
@@ -27,9 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    groups = near_duplicates(cut(fingerprints(docs)))
-    return without(docs, cut(groups.where("doc_id <> component_id").select("doc_id").distinct()), "doc_id")
+    """One document of each near-duplicate group stays, the one with the smallest id: 5-word shingles, Jaccard similarity of 0.8."""
+    return without(docs, cut(near_copies(docs).select("doc_id").distinct()), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
