@@ -291,6 +291,15 @@ def w11_pools(spark, d):
     return E.team_pools(matches(spark, d).where("kickoff_utc < timestamp_ntz '1996-04-01'"))
 
 
+@query()
+def w11_pools_all(spark, d):
+    """The pools of all matches; ``w11_pools`` is the part of them that a recursive SQL query can check."""
+    from ..sources.scratch import scratch
+
+    scratch(spark, "pools")  # sets the checkpoint folder
+    return E.team_pools(matches(spark, d))
+
+
 @query()
 def feature_table_full(spark, d):
     """The whole feature table: every history, rating, ranking, squad, scorer and context column."""
