@@ -12,27 +12,22 @@ Calibration uses each half of the labelled rows under the model of the other hal
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, held_out
+from .common import bounded_sample, cut, held_out, shared_root
 from .quality import label_rows
 
 #: Lengths of the character grams, from the shared model's shortest to the class models'.
 ORDERS = (1, 3, 5, 8)
 ORDER = ORDERS[-1]
-CHUNK_BITS = 14
 DISCOUNT = 0.75
-#: Slots of the hashed count tables: a fixed size at which the model is broadcast.
-GRAM_BITS = 21
-CONTEXT_BITS = 20
 #: Bound of the labelled sample on which the calibration is fitted.
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
@@ -71,10 +66,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` and its counts by fold and class, over ``text, fold, y``."""
 
@@ -121,70 +112,88 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy("n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
-def dense(rows: DataFrame, names: list[str]) -> tuple[list[str], dict[int, bytes]]:
-    """``slot`` and counts as compressed stretches of dense arrays, made by the tasks; the driver only passes them on."""
-    size = 1 << CHUNK_BITS
+def keyed(rows: DataFrame, names: list[str]) -> str:
+    """The folder to which ``key`` and counts are written; tasks read it, so nothing passes through the driver."""
+    path = f"{shared_root(rows.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+    rows.select("key", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in names)).write.parquet(path)
+    return path
+
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(names), size), np.int32)
-        out[:, pdf["slot"].to_numpy() & (size - 1)] = pdf[names].to_numpy().T
-        return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) >> CHUNK_BITS], "data": [zlib.compress(out.tobytes(), 1)]})
+class Counts:
+    """Counts by whole 64-bit key, sorted; keys that are not there have none."""
 
-    counts = rows.select("slot", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in names))
-    parts = counts.groupBy(F.shiftright("slot", CHUNK_BITS).alias("of")).applyInPandas(build, "chunk long, data binary")
-    return names, {r["chunk"]: r["data"] for r in parts.collect()}
+    def __init__(self, path: str, names: list[str]):
+        from pyarrow import fs, parquet
 
+        system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
+        parts = [parquet.read_table(f, columns=["key", *names], filesystem=system, use_threads=False) for f in files]
+        keys = np.concatenate([np.zeros(0, np.int64), *(t["key"].to_numpy() for t in parts)])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.columns = {c: np.concatenate([np.zeros(0, np.int32), *(t[c].to_numpy() for t in parts)])[order] for c in names}
 
-def opened(packed: tuple[list[str], dict[int, bytes]], bits: int) -> dict[str, np.ndarray]:
-    names, parts = packed
-    out = np.zeros((len(names), 1 << bits), np.int32)
-    for chunk, data in parts.items():
-        out[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(data), np.int32).reshape(len(names), -1)
-    return dict(zip(names, out))
+    def of(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """Each column's counts of ``keys`` (hashes)."""
+        if not len(self.keys):
+            return {c: np.zeros(len(keys), np.int32) for c in self.columns}
+        few, back = np.unique(keys.view(np.int64), return_inverse=True)  # in order, as neighbours are found in the cache
+        at = np.minimum(np.searchsorted(self.keys, few), len(self.keys) - 1)
+        there = self.keys[at] == few
+        return {c: np.where(there, x[at], 0)[back] for c, x in self.columns.items()}
 
 
-def tables(table: DataFrame) -> tuple[dict, dict]:
-    """(by fold, over all labels): the packed tables of ``gram_counts``' result (materialised), sums by slot."""
-    gram, context = (F.shiftrightunsigned(F.col(c), 64 - b).alias("slot") for c, b in (("gram", GRAM_BITS), ("context", CONTEXT_BITS)))
-    top = table.where(F.col("n") == ORDER).withColumns({k: F.col(f"{k}0") + F.col(f"{k}1") for k in "to"})
+def tables(table: DataFrame) -> dict[str, str]:
+    """Folders with the keyed counts of ``gram_counts``' result (materialised): by fold and class, and kinds also by class."""
+    top = table.where(F.col("n") == ORDER)
     # shared model: how many different grams of the next longer order end in this one
     below = F.create_map(*(F.lit(x) for pair in zip(ORDERS[1:], ORDERS[:-1]) for x in pair))
     ends = table.where("n > 1").groupBy(below[F.col("n")].alias("n"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("ends"))
-    shared = table.where(F.col("n") < ORDER).join(ends, ["n", "gram"])
-    common = {
-        "ends": dense(shared.groupBy(gram).agg(F.sum("ends").alias("ends")), ["ends"]),
-        "totals": dense(shared.groupBy(context).agg(F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("kinds")), ["ends", "kinds"]),
+    shared = table.where(F.col("n") < ORDER).join(ends, ["n", "gram"]).select("gram", "context", "ends")
+    kinds = [F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in COUNTS] + [F.count_if(F.col(f"{k}0") + F.col(f"{k}1") > 0).alias(f"k_{k}") for k in "to"]
+    return {
+        "ends": keyed(shared.withColumnRenamed("gram", "key"), ["ends"]),
+        "totals": keyed(shared.groupBy(F.col("context").alias("key")).agg(F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("kinds")), ["ends", "kinds"]),
+        "grams": keyed(top.withColumnRenamed("gram", "key"), COUNTS),
+        "contexts": keyed(top.groupBy(F.col("context").alias("key")).agg(*(F.sum(c).alias(c) for c in COUNTS), *kinds), [*COUNTS, *(f"k_{c}" for c in [*COUNTS, "t", "o"])]),
     }
 
-    def classes(names: list[str]) -> dict:
-        sums = [F.sum(c).alias(c) for c in names]
-        kinds = [F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in names]
-        return common | {"grams": dense(top.groupBy(gram).agg(*sums), names), "contexts": dense(top.groupBy(context).agg(*sums, *kinds), [*names, *(f"k_{c}" for c in names)])}
-
-    return classes(COUNTS), classes(["t", "o"])
-
 
 class Model:
-    """Hashed count tables; ``log_ratio`` compares the classes by the labels of one fold or all."""
-
-    def __init__(self, packed: dict):
-        self.grams, self.ends = (opened(packed[k], GRAM_BITS) for k in ("grams", "ends"))
-        self.contexts, self.totals = (opened(packed[k], CONTEXT_BITS) for k in ("contexts", "totals"))
+    """Keyed count tables; ``log_ratio`` compares the classes by the labels of one fold or all."""
+
+    def __init__(self, paths: dict[str, str], halves: bool):
+        self.ends, self.totals = Counts(paths["ends"], ["ends"]), Counts(paths["totals"], ["ends", "kinds"])
+        self.grams = Counts(paths["grams"], COUNTS)
+        self.contexts = Counts(paths["contexts"], [*COUNTS, *(f"k_{c}" for c in (COUNTS if halves else "to"))])
+        if not halves:
+            for side in (self.grams.columns, self.contexts.columns):
+                side |= {k: side.pop(f"{k}0") + side.pop(f"{k}1") for k in "to"}
+
+    _held: tuple = (None, None)
+
+    @classmethod
+    def opened(cls, paths: dict[str, str], halves: bool) -> Model:
+        """The model of ``paths``, read once by a worker for all of its tasks."""
+        if cls._held[0] != (paths, halves):
+            cls._held = (None, None)
+            cls._held = ((paths, halves), cls(paths, halves))
+        return cls._held[1]
 
     def log_ratio(self, words: list[str], fold: int | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         owner, gram, context = grams(words)
         p = np.full(len(owner), 1e-4)
         for i in range(len(ORDERS) - 1):
-            g, x = slots(gram[i], GRAM_BITS), slots(context[i], CONTEXT_BITS)
-            total, kinds = self.totals["ends"][x], self.totals["kinds"][x]
-            own = np.maximum(self.ends["ends"][g] - DISCOUNT, 0)
+            ends, totals = self.ends.of(gram[i])["ends"], self.totals.of(context[i])
+            total, kinds = totals["ends"], totals["kinds"]
+            own = np.maximum(ends - DISCOUNT, 0)
             p = np.where(total > 0, (own + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
-        g, x = slots(gram[-1], GRAM_BITS), slots(context[-1], CONTEXT_BITS)
+        of_gram, of_context = self.grams.of(gram[-1]), self.contexts.of(context[-1])
         logs = []
         for kind in "to":
             name = kind if fold is None else f"{kind}{fold}"
-            count, total, kinds = self.grams[name][g], self.contexts[name][x], self.contexts[f"k_{name}"][x]
+            count, total, kinds = of_gram[name], of_context[name], of_context[f"k_{name}"]
             # one more shared observation of mass DISCOUNT steadies contexts that a class has hardly seen
             logs.append(np.log((np.maximum(count - DISCOUNT, 0) + DISCOUNT * (kinds + 1) * p) / (np.maximum(total, 0) + DISCOUNT)))
         return np.bincount(owner, logs[0] - logs[1], len(words))
@@ -238,7 +247,7 @@ def features(docs: DataFrame, model, id_col: str, text_col: str, fold_col: str |
     """``doc_id, x``; with ``fold_col`` each row is judged by the model of that fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Model(model.value)
+        counts = Model.opened(model, fold_col is not None)
         own = {f: Evidence(counts, f) for f in ((None,) if fold_col is None else (0, 1))}
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -257,20 +266,17 @@ def features(docs: DataFrame, model, id_col: str, text_col: str, fold_col: str |
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id"):
-    """(broadcast model, calibration), learned from the labels whose id is not held out."""
+    """(folders of the model, calibration), learned from the labels whose id is not held out."""
     known = cut(label_rows(labels, label_col, label_id).withColumn("fold", F.pmod(F.xxhash64("lab_id"), F.lit(2)).cast("int")))
     side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     texts = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(side, "lab_id")
     table = cut(gram_counts(word_counts(texts.select("text", "fold", "y"))))
-    by_fold, whole = tables(table)
-    context = docs.sparkSession.sparkContext
-    halves, model = context.broadcast(by_fold), context.broadcast(whole)
+    model = tables(table)
     sample = cut(bounded_sample(known, "lab_id", CALIBRATION_ROWS, known.count()))
     chosen = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "lab_id")
     # the fold that was not learned from
-    x = features(chosen.withColumn("other", 1 - F.col("fold")), halves, "lab_id", "text", "other").join(F.broadcast(sample.select(F.col("lab_id").alias("doc_id"), "y")), "doc_id")
+    x = features(chosen.withColumn("other", 1 - F.col("fold")), model, "lab_id", "text", "other").join(F.broadcast(sample.select(F.col("lab_id").alias("doc_id"), "y")), "doc_id")
     rows = x.toPandas().sort_values(["doc_id", "x"])
-    halves.destroy()
     values = np.frombuffer(b"".join(rows["x"]), float).reshape(-1, FEATURES)
     return model, Calibration(values, rows["y"].to_numpy(int))
 
@@ -299,7 +305,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(Model(model.value), None)
+        evidence = Evidence(Model.opened(model, False), None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
