@@ -35,3 +35,9 @@ def test_model_counts_are_those_of_the_grams(spark):
     assert whole.grams.of(keys)["t"].tolist() == [want["t0"][k] + want["t1"][k] for k in keys.tolist()]
     keys = np.array(sorted(below), np.uint64)
     assert whole.ends.of(keys)["ends"].tolist() == [len(below[k]) for k in keys.tolist()]
+
+
+def test_every_order_is_counted(spark):
+    """A gram that was never seen backs off to the one that is a single character shorter."""
+    words = toxicity.word_counts(spark.createDataFrame([("alphabetical", 0, 1)], "text string, fold int, y int"))
+    assert {r.n for r in toxicity.gram_counts(words).select("n").distinct().collect()} == set(range(1, toxicity.ORDER + 1)) and toxicity.ORDER == 8

@@ -25,7 +25,7 @@ from .common import bounded_sample, cut, held_out, shared_root
 from .quality import label_rows
 
 #: Lengths of the character grams, from the shared model's shortest to the class models'.
-ORDERS = (1, 3, 5, 8)
+ORDERS = (1, 2, 3, 4, 5, 6, 7, 8)
 ORDER = ORDERS[-1]
 DISCOUNT = 0.75
 #: Bound of the labelled sample on which the calibration is fitted.
