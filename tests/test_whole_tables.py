@@ -1,5 +1,6 @@
 """Queries that work on all of their table, whatever part of it an oracle can check."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -40,6 +41,32 @@ def test_pools_of_many_components(spark):
     assert {r.team: r.pool for r in got} == union_find(played) and len({r.pool for r in got}) == 12
 
 
+def test_ratings_carry_over_between_tournaments(spark):
+    """One rating per team: each rating follows from the team's last match, whatever its tournament."""
+    got = {r.match_id: r for r in entry.queries()["w11_elo"](spark, SF).collect()}
+    rows = sorted(view(spark, SF, "matches").collect(), key=lambda r: (r.kickoff_utc, r.match_id))
+    rating, played, checked = {}, {}, 0
+    for day in sorted({r.kickoff_utc for r in rows}):
+        batch, change = [r for r in rows if r.kickoff_utc == day], {}
+        now = {}
+        for r in batch:
+            for t in (r.team1, r.team2):
+                years = (day - played.get(t, day)).total_seconds() / (365.25 * 86400)
+                now[t] = 1500 + (rating.get(t, 1500.0) - 1500) * 0.9**years
+        for r in batch:
+            x = got[r.match_id]
+            assert abs(x.elo_team1_pre - now[r.team1]) < 1e-5 and abs(x.elo_team2_pre - now[r.team2]) < 1e-5
+            expected = 1 / (1 + 10 ** ((now[r.team2] - now[r.team1] - (0 if r.neutral else 60)) / 400))
+            gap = r.team1_goals - r.team2_goals
+            delta = 20 * x.elo_importance * (1 + math.log(max(1, abs(gap)))) * (0.5 + 0.5 * ((gap > 0) - (gap < 0)) - expected)
+            change[r.team1] = change.get(r.team1, 0.0) + delta
+            change[r.team2] = change.get(r.team2, 0.0) - delta
+            checked += 1
+        for t in now:
+            rating[t], played[t] = now[t] + change[t], day
+    assert checked == len(got) > 100
+
+
 def test_checksums_cover_the_growing_table(spark):
     out = entry.queries()["s13_checksums"](spark, SF)
     rows = spark.read.json(sorted(set(out.inputFiles())))

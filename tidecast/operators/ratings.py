@@ -8,6 +8,7 @@ order; matches at one kickoff see the same state.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -83,7 +84,7 @@ def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int]) -> pd.DataF
     rating: dict[str, float] = {}
     played: dict[str, int] = {}
     known: dict[str, int] = {}
-    past: dict[str, list[float]] = {}
+    past: dict[str, deque[float]] = {}
     pending: list[tuple[int, str, float]] = []
     out: dict[str, list] = {c: [] for c in elo_columns(windows)}
     for now, lo, hi in batches(pdf):
@@ -122,7 +123,7 @@ def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int]) -> pd.DataF
         for i in range(lo, hi):
             for team in (t1[i], t2[i]):
                 known[team] = max(int(a[i]), known.get(team, int(a[i])))
-                past.setdefault(team, []).append(current[team])
+                past.setdefault(team, deque(maxlen=max(windows, default=1))).append(current[team])
     return pd.DataFrame(out).astype({"elo_team1_known": "Int64", "elo_team2_known": "Int64"})
 
 

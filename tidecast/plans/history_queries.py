@@ -262,24 +262,19 @@ def w14_global_rate(spark, d):
     return rounded(H.global_rate(matches(spark, d), LATE))
 
 
-def pooled(spark, d):
-    """Matches with their kind of tournament as the independent pool."""
-    return matches(spark, d).withColumn("pool", F.substring("tournament", 1, 6))
-
-
 @query()
 def w11_elo(spark, d):
-    return rounded(E.elo_features(pooled(spark, d), pool="pool").select("match_id", "elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance"))
+    return rounded(E.elo_features(matches(spark, d)).select("match_id", "elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance"))
 
 
 @query()
 def w12_elo_momentum(spark, d):
-    return rounded(E.elo_features(pooled(spark, d), windows=(5, 10), pool="pool").select("match_id", "elo_momentum_roll5_diff", "elo_momentum_roll10_diff"))
+    return rounded(E.elo_features(matches(spark, d), windows=(5, 10)).select("match_id", "elo_momentum_roll5_diff", "elo_momentum_roll10_diff"))
 
 
 @query()
 def w13_online_strengths(spark, d):
-    return rounded(E.online_strengths(pooled(spark, d), pool="pool"))
+    return rounded(E.online_strengths(matches(spark, d)))
 
 
 @query("""with recursive e as (select distinct team1 as a, team2 as b from matches where kickoff_utc < timestamp '1996-04-01' union select distinct team2, team1 from matches where kickoff_utc < timestamp '1996-04-01'),
@@ -303,7 +298,7 @@ def w11_pools_all(spark, d):
 @query()
 def feature_table_full(spark, d):
     """The whole feature table: every history, rating, ranking, squad, scorer and context column."""
-    return rounded(feature_table(pooled(spark, d), pool="pool", rankings=rankings(spark, d), goals=view(spark, d, "goals"), players=view(spark, d, "players"), advanced=True).drop("pool"))
+    return rounded(feature_table(matches(spark, d), rankings=rankings(spark, d), goals=view(spark, d, "goals"), players=view(spark, d, "players"), advanced=True))
 
 
 FLAGSHIP = f"""with {SIDES.replace('late_available_at', 'available_at')},

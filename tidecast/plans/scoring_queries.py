@@ -254,12 +254,12 @@ COLUMNS = ["elo_diff_pre", "elo_exp_team1", "neutral_int", "tournament_importanc
 
 def model_table(spark: SparkSession, d: str) -> DataFrame:
     """Features of all matches, written once per query so that fits read them and not the history again."""
-    m = matches(spark, d).withColumns({"outcome": C.outcome(), "neutral_int": F.col("neutral").cast("int"), "tournament_importance": C.importance(), "pool": F.substring("tournament", 1, 6)})
+    m = matches(spark, d).withColumns({"outcome": C.outcome(), "neutral_int": F.col("neutral").cast("int"), "tournament_importance": C.importance()})
     rows = team_rows(m)
     long = last_means(rows, [5], ["goals_for", "win"]).join(decayed_means(rows, ["goal_diff"]), ["match_id", "side"]).join(recency(rows), ["match_id", "side"])
     names = ["days_rest", "goal_diff_ewm", "goals_for_roll5", "win_roll5"]
     form = widen(long, names).select("match_id", *((F.col(f"team1_{c}") - F.col(f"team2_{c}")).alias(f"{c}_diff") for c in names))
-    wide = m.join(elo_features(m, pool="pool").select("match_id", "elo_diff_pre", "elo_exp_team1"), "match_id").join(form, "match_id").join(prior_counts(m).select("match_id", "prior_matches_min"), "match_id")
+    wide = m.join(elo_features(m).select("match_id", "elo_diff_pre", "elo_exp_team1"), "match_id").join(form, "match_id").join(prior_counts(m).select("match_id", "prior_matches_min"), "match_id")
     path = scratch(spark, "model_table")
     wide.select("match_id", F.col("kickoff_utc").cast("timestamp").alias("kickoff_utc"), "outcome", "team1_goals", "team2_goals", *COLUMNS).write.parquet(path)
     return spark.read.parquet(path)
