@@ -147,6 +147,16 @@ def test_cached_ids_equal_the_library(library):
     assert enc.encode("don't we'll 12.5  x<|endoftext|>") == b"".join(i.to_bytes(4, "little") for i in library.encode("don't we'll 12.5  x<|endoftext|>", add_special_tokens=False).ids)
 
 
+def test_cutting_and_a_cache_that_turns_over(library):
+    """Texts of few classes of characters, many at a time, cut into short segments, with caches of a few pieces."""
+    rng, enc = random.Random(6), bpe.Encoder(bpe.default_vocabulary(), cache_chars=300, chars_at_once=40)
+    for _ in range(3000):
+        alphabet = rng.choice(["ab 's1é\n\t.-  ĀZ’漢<|", "'stmdrevl a.\n", "' sr\te5", "abcdefghijklm ", " \n\t", "\0a", "éÿĀāa "])
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3)]
+        want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert enc.encode_all(texts) == want, texts
+
+
 def test_token_files(spark, odd, library, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_tokens(odd.repartition(3), path, end_id=0)

@@ -1,53 +1,209 @@
-"""Byte-level BPE ids from the ``tokenizers`` library, one library call per new word.
+"""Byte-level BPE ids from the ``tokenizers`` library, asked once per new piece.
 
 A byte-level BPE never merges across the pieces of its own pre-tokenizer, so the
 ids of a text are the ids of its pieces one after the other. Texts of the plain
-Latin range are cut into pieces here and looked up in a bounded cache that the
-library fills; every other text goes to the library whole.
+Latin range are cut into pieces here, many texts in one pass of array operations; the ids
+of the distinct pieces come from a bounded cache, those of new pieces from the library, many
+in one call. Every other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: The character classes of the pre-tokenizer within the plain range.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
-UNUSUAL = re.compile(r"[^\n\t -~¡-ɏ]|<\|")
-PIECES = re.compile(
-    rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
-)
-
-
-class Encoder(dict):
-    """text -> ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, vocabulary: str, cache_words: int = 400_000):
+PLAIN = r"\n\t -~¡-ɏ"
+END, LETTER, NUMBER, SPACE, WHITE, OTHER, UNUSUAL = range(7)
+JOINT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _class_of(char: str) -> int:
+    if char == "\0":
+        return END
+    if not re.fullmatch(f"[{PLAIN}]", char):
+        return UNUSUAL
+    for kind, chars in ((SPACE, " "), (WHITE, r"\s"), (LETTER, LETTERS), (NUMBER, NUMBERS)):
+        if re.fullmatch(f"[{chars}]", char):
+            return kind
+    return OTHER
+
+
+_CLASS = np.array([_class_of(chr(c)) for c in range(0x250)] + [UNUSUAL], np.uint8)
+_IN_WORD = np.isin(np.arange(7), (LETTER, NUMBER, OTHER))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def plain(text: str) -> bool:
+    """Whether a text can be cut into pieces here."""
+    kinds = _CLASS[np.minimum(codes_of(text), 0x250)]
+    return "<|" not in text and not ((kinds == UNUSUAL) | (kinds == END)).any()
+
+
+def piece_starts(codes: np.ndarray) -> np.ndarray:
+    """Where pieces begin in plain texts that each end with a zero (a piece of its own)."""
+    kind = _CLASS[codes]
+    before, here, after = kind[:-1], kind[1:], np.append(kind[2:], END)
+    white = (kind == SPACE) | (kind == WHITE)
+    joined = np.zeros(len(codes), bool)
+    joined[1:] = (
+        (before == here) & _IN_WORD[here]
+        | (before == SPACE) & _IN_WORD[here]
+        # the last character of white space before a word stays apart from the rest
+        | white[:-1] & white[1:] & ~_IN_WORD[after]
+    )
+    # contractions, where an apostrophe begins a piece
+    at = np.flatnonzero(codes == ord("'"))
+    at = at[np.isin(np.where(at > 0, kind[at - 1], END), (LETTER, NUMBER, WHITE, END))]
+    first, second = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+    short = np.isin(first, [ord(c) for c in "stmd"])
+    long = np.isin(first, [ord("r"), ord("v")]) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    joined[at[short | long] + 1] = True
+    joined[at[short] + 2] = False
+    joined[at[long] + 2], joined[at[long] + 3] = True, False
+    return np.flatnonzero(~joined)
+
+
+class Recent:
+    """A cache of two generations, each of ``most`` characters of keys (and 16 more for each key).
+
+    When the young one is full it becomes the old one; what was not met since is
+    then forgotten, so frequent keys are never learned twice.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
+        self.learn, self.most, self.size = learn, most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def holding(self, keys: list[str]) -> dict[str, bytes]:
+        """A dictionary with all of ``keys``."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = []
+        for key in {k for k in keys if k not in self.young}:
+            self.size += len(key) + 16
+            ids = self.old.get(key)
+            if ids is None:
+                new.append(key)
+            else:
+                self.young[key] = ids
+        self.young.update(zip(new, self.learn(new)))
+        return self.young
+
+
+class Encoder:
+    """Texts -> ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, vocabulary: str, cache_chars: int = 6_000_000, chars_at_once: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(vocabulary)
-        self.cache_words = cache_words
+        self.chars_at_once = chars_at_once
+        self.pieces = Recent(self._learn, cache_chars)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """From the library; pieces of a space and letters go there joined, as it cuts them apart again."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), 1024):
+            group = words[at : at + 1024]
+            encoded = self.library.encode("".join(group), add_special_tokens=False)
+            place = np.array(encoded.word_ids)
+            if place[-1] == len(group) - 1:
+                ids, ends = np.array(encoded.ids, "<u4").tobytes(), np.searchsorted(place, np.arange(len(group)), "right").tolist()
+                found.update(zip(group, (ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
+        return [found[p] if p in found else self.whole(p) for p in pieces]
+
+    def _distinct(self, text: str, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Pieces (some may be equal), and the number of each place's piece in that list.
+
+        Pieces of up to 16 characters below 256 are told apart as two integers.
+        """
+        n = len(codes)
+        narrow = np.zeros(n + 16, np.uint8)
+        narrow[:n] = np.minimum(codes, 255)
+        words = np.ndarray((n + 8,), "<u8", narrow, strides=(1,))
+        low = words[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]
+        high = words[np.minimum(starts + 8, n)] & _FIRST_BYTES[np.clip(lengths - 8, 0, 8)]
+        wide = np.cumsum(codes > 254)
+        odd = (lengths > 16) | (wide[starts + lengths - 1] > wide[starts] - (codes[starts] > 254))
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
+        odd |= (low != low[first][number]) | (high != high[first][number])  # two pieces of one mixture
+        others = np.flatnonzero(odd)
+        number = number.copy()
+        number[others] = len(first) + np.arange(len(others))
+        places = np.concatenate([first, others])
+        return [text[a:b] for a, b in zip(starts[places].tolist(), (starts + lengths)[places].tolist())], number
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        text = "\0".join(texts) + "\0"
+        codes = codes_of(text)
+        starts = piece_starts(codes)
+        lengths = np.diff(np.append(starts, len(codes)))
+        ends = np.flatnonzero(codes[starts] == 0)  # the pieces that end a text
+        pieces, number = self._distinct(text, codes, starts, lengths)
+        known = self.pieces.holding(pieces)
+        ids = [b"" if p == "\0" else known[p] for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[number]
+        upto = np.cumsum(each)
+        total = int(upto[-1])
+        out = flat[np.repeat(first[number] - (upto - each), each) + np.arange(total)].tobytes()
+        cuts = (4 * upto[ends]).tolist()
+        return [out[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def segments(self, text: str) -> Iterator[str]:
+        """The text, if long cut before spaces that begin a piece."""
+        at = 0
+        while len(text) - at > self.chars_at_once and (joint := JOINT.search(text, at + self.chars_at_once)):
+            yield text[at : joint.start()]
+            at = joint.start()
+        yield text[at:]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, str]] = []
+        chars = 0
+
+        def settle() -> None:
+            nonlocal chars
+            for (i, _), ids in zip(held, self._encode_plain([s for _, s in held])):
+                out[i] += ids
+            held.clear()
+            chars = 0
+
+        for i, text in enumerate(texts):
+            if not plain(text):
+                out[i] = self.whole(text)
+                continue
+            for segment in self.segments(text):
+                held.append((i, segment))
+                chars += len(segment)
+                if chars >= self.chars_at_once:
+                    settle()
+        if held:
+            settle()
+        return out
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self.whole(text)
-        if len(self) > self.cache_words:
-            self.clear()
-        return b"".join(map(self.__getitem__, PIECES.findall(text)))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -153,12 +153,21 @@ def pack(
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=NAMES)
                 rows.clear()
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            """(document, ids, length of the loss-free prefix) of each row, some rows at a time."""
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                docs, texts, prompts = (c.to_pylist() for c in part.columns)
+                cuts = [max(0, p or 0) for p in prompts]
+                texts = [t or "" for t in texts]
+                heads = enc.encode_all([t[:c] for t, c in zip(texts, cuts)]) if any(cuts) else [b""] * len(texts)
+                bodies = enc.encode_all([t[c:] for t, c in zip(texts, cuts)])
+                for doc, head, body in zip(docs, heads, bodies):
+                    yield doc, head + body + end, len(head) // 4
+
         for batch in batches:
-            for doc, text, prompt in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text or ""
-                head = enc.encode(text[:prompt]) if prompt else b""
-                ids = (head + enc.encode(text[prompt:]) if prompt else enc.encode(text)) + end
-                total, free, start = len(ids) // 4, len(head) // 4, 0
+            for doc, ids, free in encoded(batch):
+                total, start = len(ids) // 4, 0
                 while total - start >= max_tokens and limits[2] >= max_tokens:
                     put(doc, ids, start, max_tokens, free, 0)
                     sequence += 1

@@ -55,7 +55,7 @@ def write_tokens(
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in enc.encode_all([t or "" for t in part.column(1).to_pylist()])]
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
