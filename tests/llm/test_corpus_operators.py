@@ -141,8 +141,10 @@ def test_alignment_against_edit_distance():
 
     for _ in range(300):
         p, t = ("".join(rng.choice("abc") for _ in range(n)) for n in (rng.randint(1, 12), rng.randint(1, 25)))
-        found, end = decontaminate.align(decontaminate.codes(p), decontaminate.codes(t), -len(p), len(t))
-        assert found == edits(p, t) and 0 <= end <= len(t)
+        around = " " * len(p) + t + " " * (2 * len(p))
+        pattern, text = (np.array(list(map(ord, x)))[None] for x in (p, around))
+        found, end = decontaminate.align(pattern, text[:, : 2 * len(p) + len(t) + len(p)], 0, True)
+        assert found[0] == edits(p, around)
 
 
 def test_leaks(spark):
@@ -154,7 +156,7 @@ def test_leaks(spark):
     for i in range(60):
         item = rng.choice(items[:6])
         text = item[1]
-        n = i % 4
+        n = i % 4  # unharmed, other case and spaces, and twice with edits
         if n == 1:
             text = text.upper().replace(" ", "  ")
         if n >= 2:  # a few edits

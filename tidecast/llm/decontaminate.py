@@ -1,64 +1,90 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into windows. A document region within k edits of a window of
-m characters shares at least m - q + 1 - k q of its q-grams, all on nearby diagonals
-(place in the document minus place in the window). Shared q-grams are counted in
-overlapping diagonal bands; regions that reach the bound are verified by a banded
-alignment. Texts are compared as lower-case letters and digits with single spaces.
+A document region within k edits of a passage of m characters shares at least
+m - q + 1 - k q of the passage's q-grams, all on nearby diagonals (place in the document minus
+place in the item). Shared q-grams are counted by item in overlapping diagonal bands; in a
+band that has enough of them, each passage of the item (``window`` characters at every
+``stride``, and the last ones) is counted by its own places, and passages that reach the
+lemma's bound are verified by a banded alignment. Texts are compared as lower-case letters
+and digits with single spaces. So every leaked run of window + stride - 1 normalised characters
+(95 by default; the whole item if it is shorter) within the edits is found.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut
 
-Q = 8
-WINDOW = 160
-STRIDE = 80
-EDIT_RATE = 0.08
-#: Windows that are searched in one pass over the documents (about 5 MB of index).
-BLOCK_WINDOWS = 20_000
 FILTER_BITS = 22
+#: Characters of benchmark items in one index (about 25 bytes each, broadcast), and how many indexes are alive at once.
+BLOCK_CHARS = 2_000_000
+BLOCKS_AT_ONCE = 8
+#: Characters of documents that are searched together, pairs of equal q-grams and passages that are held at once.
+BATCH_CHARS = 1 << 18
+PAIRS = 1 << 20
+PASSAGES = 2048
 
-_TERMS = re.compile(r"[^\W_]+")
 _P = 0x9E3779B97F4A7C15
+_SPACE = 32
 
 
-def fold(text: str) -> str:
-    """Lower case, code point for code point."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+@dataclass(frozen=True)
+class Settings:
+    """``q`` is a power of two. A passage of m characters may differ by ``edit_rate`` x m edits, and by no more
+    than the lemma can show, (m - q) / q."""
 
+    q: int = 8
+    window: int = 80
+    stride: int = 16
+    edit_rate: float = 0.08
 
-def normalise(text: str) -> str:
-    return " ".join(_TERMS.findall(fold(text)))
+    def edits(self, m: int) -> int:
+        return max(0, min(int(m * self.edit_rate), (m - self.q) // self.q))
+
+    def bound(self, m: int) -> int:
+        return m - self.q + 1 - self.edits(m) * self.q
+
+    def starts(self, length: int) -> list[int]:
+        last = max(0, length - self.window)
+        return [*range(0, last, self.stride), last]
+
+
+@cache
+def folded() -> np.ndarray:
+    """For each code point its lower case (the first of several), or 0 if that is no letter or digit."""
+    low = [chr(c).lower()[0] for c in range(0x110000)]
+    return np.array([ord(c) if c.isalnum() else 0 for c in low], np.uint32)
 
 
-def original_places(text: str) -> np.ndarray:
-    """For each normalised character, its place in the text (spaces: the place after the word)."""
-    out: list[int] = []
-    for m in _TERMS.finditer(fold(text)):
-        if out:
-            out.append(out[-1] + 1)
-        out.extend(range(m.start(), m.end()))
-    return np.array(out, np.int64)
+def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised characters and the place of each in the text (spaces: the place after the word)."""
+    f = folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    word = f != 0
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    places = np.flatnonzero(keep)
+    if len(places) and not word[places[-1]]:
+        places = places[:-1]
+    return np.where(word[places], f[places], np.uint32(_SPACE)), places
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def normalise(text: str) -> str:
+    return normalised(text)[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def qgrams(c: np.ndarray) -> np.ndarray:
-    """Hashes of all Q-grams (Q a power of two), by doubling."""
-    h, width, p = c, 1, _P
-    while width < Q:
+def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all q-grams, by doubling."""
+    h, width, p = codes.astype(np.uint64), 1, _P
+    while width < q:
         if len(h) <= width:
             return np.zeros(0, np.uint64)
         h = h[:-width] * np.uint64(p) + h[width:]
@@ -66,135 +92,269 @@ def qgrams(c: np.ndarray) -> np.ndarray:
     return h
 
 
-def windows(text: str) -> list[str]:
-    """The normalised item, or overlapping windows of it if it is longer."""
-    t = normalise(text)
-    if len(t) <= WINDOW:
-        return [t]
-    starts = [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]
-    return [t[a : a + WINDOW] for a in starts]
-
-
-def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits of the whole pattern against a piece of text whose diagonal stays in [low, high].
+def align(patterns: np.ndarray, texts: np.ndarray, low: int, free: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each whole pattern (n x m) against a piece of its text (n x (m + width)), for all n at once.
 
-    Returns (edits, end of the piece). Any start on the band is free.
+    Column j of a text is the character under diagonal ``low`` + j of the pattern's first
+    character. The piece may start on any diagonal if ``free``, else on diagonal 0.
+    Returns the edits and the length of text from diagonal 0's first character to the piece's end.
     """
-    width = high - low + 1
-    steps = np.arange(width)
-    far = len(pattern) + 1
-    row = np.where((steps + low >= 0) & (steps + low <= len(text)), 0, far)
-    for i, ch in enumerate(pattern):
-        at = steps + low + i  # the text's character under each diagonal
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside]] == ch
-        new = np.where(inside, row + ~same, far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.minimum.accumulate(new - steps) + steps
-        new[(at + 1 < 0) | (at + 1 > len(text))] = far
-        row = new
-    j = int(np.argmin(row))
-    return int(row[j]), j + low + len(pattern)
+    n, m = patterns.shape
+    width = texts.shape[1] - m
+    steps = np.arange(width, dtype=np.int32)
+    far = np.int32(m + width)
+    diagonal = steps + low
+    row = np.zeros((n, width), np.int32) if free else np.broadcast_to(np.where(diagonal >= 0, diagonal, far), (n, width)).astype(np.int32)
+    for i in range(m):
+        new = row + (texts[:, i : i + width] != patterns[:, i : i + 1])
+        if not free:
+            new[:, diagonal + i < 0] = far  # before the text's first character
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    j = row.argmin(1)
+    return row[np.arange(n), j], j + low + m
 
 
 class Index:
-    """The q-grams of a block of windows."""
+    """The q-grams of a block of items (normalised characters); items of fewer than q characters match nothing."""
 
-    def __init__(self, items: list, texts: list[str]):
-        self.items, self.patterns = items, [codes(t) for t in texts]
-        grams = [qgrams(p) for p in self.patterns]
-        lengths = [len(g) for g in grams]
+    def __init__(self, items: list, texts: list[np.ndarray], settings: Settings):
+        self.settings, self.items = settings, items
+        grams = [qgrams(t, settings.q) for t in texts]
+        lengths = np.array([len(g) for g in grams], np.int64)
         keys = np.concatenate([np.zeros(0, np.uint64), *grams])
-        self.window = np.repeat(np.arange(len(grams)), lengths)
-        self.offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in lengths)])
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), lengths)
+        offset = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)])
         order = np.argsort(keys, kind="stable")
-        self.window, self.offset = self.window[order], self.offset[order]
+        self.item, self.offset = item[order], offset[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        m = np.array([len(p) for p in self.patterns], np.int64)
-        self.edits = (m * EDIT_RATE).astype(np.int64)
-        self.bound = np.maximum(1, m - Q + 1 - self.edits * Q)
-        self.band = int(max(self.edits, default=0)) + 1
-
-    def search(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(window, start, end, edits) in a document's normalised characters, best per window."""
-        h = qgrams(c)
+        self.text = np.concatenate([np.zeros(0, np.uint32), *texts])
+        ends = np.cumsum([0, *map(len, texts)])
+        self.start, self.length = ends[:-1], np.diff(ends)
+        m = np.minimum(self.length, settings.window)
+        self.bound = np.array([max(1, settings.bound(int(x))) for x in m], np.int64)
+        self.most_edits = max((settings.edits(int(x)) for x in m), default=0)
+        self.band = self.most_edits + 1
+        self.longest = int(self.length.max(initial=0))
+        starts = [settings.starts(int(n)) for n in self.length]
+        self.passage_count = np.array([len(x) for x in starts], np.int64)
+        self.passage_first = np.cumsum(self.passage_count) - self.passage_count
+        self.passage_start = np.concatenate([np.zeros(0, np.int64), *map(np.array, starts)]).astype(np.int64)
+        #: beyond both ends of a document, and between two of them: more than any passage can bridge
+        self.margin = self.longest + 4 * self.band + settings.window
+
+    def first_of_repeats(self, codes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Those of the places ``at`` that some region needs which is not the same as an earlier one of its text.
+
+        A region that stands earlier in the text has been found there, so repetitive texts cost no more than what they repeat.
+        """
+        reach = 1 << int(self.settings.window + 2 * self.band).bit_length()
+        h = qgrams(codes, reach) + owner[: max(0, len(codes) - reach + 1)].astype(np.uint64) * np.uint64(_P)
+        new = np.ones(len(codes), np.int64)
+        new[: len(h)] = 0
+        new[np.unique(h, return_index=True)[1]] = 1
+        upto = np.cumsum(new)
+        return at[upto[at] > np.where(at >= reach, upto[np.maximum(at - reach, 0)], 0)]
+
+    def candidates(self, codes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of (item, start of the passage, lowest diagonal of its band), some more than once. ``first``: where texts begin."""
+        h = qgrams(codes, self.settings.q)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        if not len(at):
-            return []
-        k = np.searchsorted(self.keys, h[at])
-        k[k == len(self.keys)] = 0
+        if not len(at) or not len(self.keys):
+            return
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         hit = self.keys[k] == h[at]
         at, k = at[hit], k[hit]
-        n = self.count[k]
-        if not len(at):
-            return []
-        rows = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, diagonal = self.window[rows], np.repeat(at, n) - self.offset[rows]
-        # each diagonal lies in two bands, so a region that drifts by less than a band lies whole in one
-        span = len(c) // self.band + WINDOW + 4
-        band = diagonal // self.band + WINDOW
-        groups = np.concatenate([window * span + band, window * span + band + 1])
-        groups, counts = np.unique(groups, return_counts=True)
-        good = counts >= self.bound[groups // span]
-        best: dict[int, tuple[int, int, int]] = {}
-        for w, b in zip((groups[good] // span).tolist(), (groups[good] % span).tolist()):
-            edits = int(self.edits[w])
-            low, high = (b - 1 - WINDOW) * self.band - edits, (b + 1 - WINDOW) * self.band + edits
-            pattern = self.patterns[w]
-            d, end = align(pattern, c, low, high)
-            if d <= edits and (w not in best or d < best[w][2]):
-                back, length = align(pattern[::-1], c[max(0, end - len(pattern) - edits) : end][::-1], 0, edits) if d else (0, len(pattern))
-                best[w] = (end - length if back <= edits else max(0, end - len(pattern)), end, d)
-        return [(w, *r) for w, r in best.items()]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+        if self.count[k].sum() > 4 * len(codes):
+            kept = np.isin(at, self.first_of_repeats(codes, np.searchsorted(first, np.arange(len(codes)), "right"), at))
+            at, k = at[kept], k[kept]
+        pairs = np.cumsum(self.count[k])
+        span = (len(codes) + self.longest) // self.band + 2
+        # stretches with a bounded number of pairs; they overlap, so that each region of a passage lies whole in one
+        overlap, a = self.settings.window + 2 * self.band, 0
+        while a < len(at):
+            b = int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + PAIRS, "right"))
+            b = min(len(at), max(b, int(np.searchsorted(at, at[a] + 2 * overlap))))
+            n = self.count[k[a:b]]
+            rows = np.repeat(self.first[k[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item, offset = self.item[rows], self.offset[rows]
+            keys = item.astype(np.int64) * span + (np.repeat(at[a:b], n) - offset + self.longest) // self.band
+            groups, counts = np.unique(keys, return_counts=True)
+            # a band is two neighbouring groups of diagonals, so a region that drifts by less lies whole in one
+            wide = np.append((groups[1:] == groups[:-1] + 1) * counts[1:], [0] * min(1, len(groups)))
+            good = groups[counts + wide >= self.bound[groups // span]]
+            if len(good):
+                yield self.passages(good, span, keys, offset)
+            if b == len(at):
+                return
+            a = max(a + 1, int(np.searchsorted(at, at[b] - overlap)))
+
+    def passages(self, good: np.ndarray, span: int, keys: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """In the bands that begin with the groups ``good``, the passages whose own q-grams reach the bound."""
+        size, there = self.longest + 1, []
+        for group in (keys, keys - 1):
+            g = np.minimum(np.searchsorted(good, group), len(good) - 1)
+            own = good[g] == group
+            there.append(g[own] * size + offset[own])
+        there = np.unique(np.concatenate(there))  # band and place in the item, each once
+        item = good // span
+        n = self.passage_count[item]
+        band = np.repeat(np.arange(len(good)), n)
+        start = self.passage_start[np.repeat(self.passage_first[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        m = np.minimum(self.length[item[band]], self.settings.window)
+        low = band * size + start
+        shared = np.searchsorted(there, low + m - self.settings.q + 1) - np.searchsorted(there, low)
+        enough = shared >= self.bound[item[band]]
+        band, start = band[enough], start[enough]
+        return np.stack([item[band], start, good[band] % span * self.band - self.longest], axis=1)
+
+    def verified(self, codes: np.ndarray, found: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of those passages that align within their edits. ``codes`` has the margin at both ends."""
+        sizes = np.minimum(self.length[found[:, 0]], self.settings.window)
+        for m in np.unique(sizes).tolist():
+            item, start, low = found[sizes == m].T
+            k = self.settings.edits(m)
+            patterns = self.text[(self.start[item] + start)[:, None] + np.arange(m)]
+            base = low - k + start
+            edits, length = align(patterns, codes[base[:, None] + np.arange(m + 2 * self.band + 2 * k)], 0, True)
+            end = base + length
+            good = edits <= k
+            item, patterns, edits, end = item[good], patterns[good], edits[good], end[good]
+            if len(item):
+                # backwards from the end, for the start
+                back = end[:, None] - 1 + k - np.arange(m + 2 * k + 1)
+                _, length = align(patterns[:, ::-1], codes[back], -k, False)
+                yield from zip(item.tolist(), (end - length).tolist(), end.tolist(), edits.tolist())
+
+    def search(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text: item -> (edits, start, end), places in the text's code points, of the passage with the fewest edits, then the first."""
+        gap = np.zeros(self.margin, np.uint32)
+        parts, places, starts, at = [gap], [], [], self.margin
+        for text in texts:
+            codes, where = normalised(text)
+            parts += [codes, gap]
+            places.append(where)
+            starts.append(at)
+            at += len(codes) + self.margin
+        codes, first = np.concatenate(parts), np.array(starts)
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+
+        for found in self.candidates(codes, first):
+            for lo in range(0, len(found), PASSAGES):
+                for item, a, b, edits in self.verified(codes, found[lo : lo + PASSAGES]):
+                    i = int(np.searchsorted(first, b, "right")) - 1
+                    if i < 0 or not len(places[i]):
+                        continue
+                    where, a, b = places[i], a - first[i], min(b - first[i], len(places[i]))
+                    one = (edits, int(where[max(0, min(a, len(where) - 1))]), int(where[b - 1]) + 1)
+                    best[i][item] = min(best[i].get(item, one), one)
+        return best
+
+
+def batches_of(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) with about BATCH_CHARS characters, at least one text."""
+    first, held, chars = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text or "")
+        chars += len(held[-1])
+        if chars >= BATCH_CHARS or len(held) >= 1024:
+            yield first, held
+            first, held, chars = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def indexes(benchmark: DataFrame, item_col: str, text_col: str, settings: Settings) -> Iterator[Broadcast]:
+    """Broadcast indexes, made one after another, of items whose characters are bounded by BLOCK_CHARS (one longer item stands alone).
+
+    All texts of an item are in one index.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([normalise(t or "") for t in batch.column(1).to_pylist()], pa.string())], names=["item", "piece"])
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    pieces = cut(rows.mapInArrow(run, "item long, piece string").where(F.length("piece") >= settings.q).distinct())
+    blocks = max(1, -(-(pieces.agg(F.sum(F.length("piece"))).first()[0] or 0) // BLOCK_CHARS))
+    for block in range(blocks):
+        part = pieces.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "piece").toArrow()
+        texts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in part["piece"].to_pylist()]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(part["item"].to_pylist(), texts, settings))
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()
+) -> DataFrame:
     """``doc_id, item_id, start, end, edits``: benchmark passages in documents.
 
-    One row per document and item (the window with the fewest edits, then the
-    first), with places in the document's code points. Items of under Q
-    normalised characters match nothing; null texts count as empty; repeated
-    documents or items give one row per pair of ids. The benchmark is taken in
-    blocks of ``BLOCK_WINDOWS`` windows, each one pass over the documents.
+    One row per row of ``docs`` and item (the passage with the fewest edits, then the
+    first), with places in the document's code points; equal rows and null ids each have their own.
+    Several texts of one item count as one item. Items of fewer than q normalised characters
+    match nothing; null texts count as empty; other columns are ignored; empty tables give
+    no rows. Texts of any length are searched in stretches with a bounded number of pairs.
     """
-    cutting = F.udf(windows, "array<string>")
-    pieces = cut(
-        benchmark.select(F.col(item_col).cast("long").alias("item"), F.explode(cutting(F.coalesce(F.col(item_text_col).cast("string"), F.lit("")))).alias("piece"))
-        .where(F.length("piece") >= Q)
-        .distinct()
-    )
-    blocks = max(1, -(-pieces.count() // BLOCK_WINDOWS))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, end long, edits long"
 
-    def pass_of(block: int) -> DataFrame:
-        part = pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block).orderBy("item", "piece").toPandas()
-        index = docs.sparkSession.sparkContext.broadcast(Index(part["item"].tolist(), part["piece"].tolist()))
-
+    def pass_of(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in batches:
-                out = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if found := own.search(codes(normalise(text))):
-                        places = original_places(text)
-                        for w, a, b, edits in found:
-                            out.append((doc, own.items[w], int(places[min(a, len(places) - 1)]), int(places[min(b, len(places)) - 1]) + 1, edits))
+                ids, out = batch.column(0).to_pylist(), []
+                for at, texts in batches_of(batch.column(1).to_pylist()):
+                    for i, found in enumerate(own.search(texts), at):
+                        of_item: dict = {}
+                        for k, one in found.items():
+                            of_item[own.items[k]] = min(of_item.get(own.items[k], one), one)
+                        out += [(ids[i], item, a, b, edits) for item, (edits, a, b) in sorted(of_item.items(), key=str)]
                 yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "start", "end", "edits"])
 
         return rows.mapInArrow(run, schema)
 
-    found = pass_of(0)
-    for block in range(1, blocks):
-        found = found.unionByName(pass_of(block))
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "end")).alias("best"))
-    return best.select("doc_id", "item_id", "best.start", "best.end", "best.edits")
+    found, alive = None, []
+    for index in indexes(benchmark, item_col, item_text_col, settings):
+        if len(alive) >= BLOCKS_AT_ONCE:
+            found = cut(found)
+            for used in alive:
+                used.destroy()
+            alive.clear()
+        alive.append(index)
+        found = pass_of(index) if found is None else found.unionByName(pass_of(index))
+    return found
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()
+) -> DataFrame:
+    """``docs`` without the rows in which a benchmark passage is found.
+
+    Row by row, without a join: ids may be null or repeated, and rows that share an id
+    with a leaked one stay. Null and empty texts stay; so do all rows if the benchmark
+    is empty; an empty table stays empty. All columns stay as they are.
+    """
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def pass_of(rows: DataFrame, index: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = index.value
+            for batch in batches:
+                clean: list[bool] = []
+                for _, texts in batches_of(batch.column(at).to_pylist()):
+                    clean += [not found for found in own.search(texts)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
+        return rows.mapInArrow(run, schema)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame:
-    """``docs`` without the documents in which a benchmark passage was found; null ids stay."""
-    ids = cut(leaks(docs, benchmark, id_col=id_col, **columns).select("doc_id").where("doc_id is not null").distinct())
-    return without(docs, ids, id_col)
+    out, alive = docs, []
+    for index in indexes(benchmark, item_col, item_text_col, settings):
+        if len(alive) >= BLOCKS_AT_ONCE:
+            out = cut(out)
+            for used in alive:
+                used.destroy()
+            alive.clear()
+        alive.append(index)
+        out = pass_of(out, index)
+    return out
