@@ -95,6 +95,13 @@ def write_mpeg(payload: bytes, n_bytes: int) -> bytes:
     return tag + frame(5, table) + b"".join(frames)
 
 
+def reaches_end(stream: bytes, pos: int) -> bool:
+    """Whether whole frames, one right behind the other, go from ``pos`` to the end."""
+    while pos < len(stream) and (head := header(stream[pos : pos + 4])):
+        pos += head[0]
+    return pos == len(stream)
+
+
 def parse_mpeg(stream: bytes) -> dict:
     """Tags, frames, checksums and ancillary data of a stream; damage is skipped and counted."""
     tags: dict[str, str] = {}
@@ -110,7 +117,8 @@ def parse_mpeg(stream: bytes) -> dict:
                 name, _, value = value.partition("\0")
             tags[name] = value
             at += 10 + size
-    if end - pos >= 128 and stream[end - 128 : end - 125] == b"TAG":
+    # audio data may hold the mark of a trailing tag by chance: where the frames reach the end, there is no tag
+    if end - pos >= 128 and stream[end - 128 : end - 125] == b"TAG" and not reaches_end(stream, pos):
         end -= 128
         tags.setdefault("TIT2", stream[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     offsets, data, lost, bad_crc, table, rates = [], [], 0, 0, None, set()
@@ -156,8 +164,9 @@ def stored_payload(parsed: dict) -> tuple[bytes, int]:
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, media``: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as MPEG audio.
 
-    Null texts count as empty (one unit of zeros). Row by row: repeated rows and
-    null ids stay; other columns are ignored.
+    Null texts count as empty (one unit of zeros); texts of any length are stored whole (a
+    task holds 512 streams at once). Row by row: repeated rows and null ids stay; other
+    columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +182,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def media_columns(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Parsed columns of a media column, one row per stream; null streams count as empty ones.
+    """Parsed columns of a media column, one row per stream; null streams count as empty ones, an empty table gives no rows.
 
     ``seek_offsets`` has the byte offset of each audio frame; frame k begins at
     k * 1152 / ``sample_rate`` seconds. Damaged stretches are counted in
