@@ -80,25 +80,23 @@ class Recent:
     then forgotten, so frequent keys are never learned twice.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
+    def __init__(self, learn: Callable[[list], list[bytes]], most: int):
         self.learn, self.most, self.size = learn, most, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def holding(self, keys: list[str]) -> dict[str, bytes]:
+    def holding(self, keys: list) -> dict:
         """A dictionary with all of ``keys``."""
         if self.size > self.most:
             self.old, self.young, self.size = self.young, {}, 0
-        new = []
-        for key in {k for k in keys if k not in self.young}:
-            self.size += len(key) + 16
-            ids = self.old.get(key)
-            if ids is None:
-                new.append(key)
-            else:
-                self.young[key] = ids
-        self.young.update(zip(new, self.learn(new)))
-        return self.young
+        young = self.young
+        keys = [k for k in keys if k not in young]
+        known = list(map(self.old.get, keys))
+        new = [k for k, ids in zip(keys, known) if ids is None]
+        young.update(zip(keys, known))
+        young.update(zip(new, self.learn(new)))
+        self.size += sum(map(len, keys)) + 16 * len(keys)
+        return young
 
 
 class Encoder:
@@ -110,28 +108,40 @@ class Encoder:
 
         self.library = Tokenizer.from_file(vocabulary)
         self.chars_at_once = chars_at_once
+        ids = self.library.get_vocab(with_added_tokens=True)
+        #: the ids whose bytes begin with a space, as byte-level vocabularies write it
+        self.spaced = np.zeros(max(ids.values()) + 1, bool)
+        self.spaced[[i for token, i in ids.items() if token[0] == "Ġ"]] = True
         self.pieces = Recent(self._learn, cache_chars)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
+    def _learn(self, keys: list[bytes | str]) -> list[bytes]:
         """From the library; pieces of a space and letters go there joined, as it cuts them apart again."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        found: dict[str, bytes] = {}
+        pieces = [k.decode("latin-1") if type(k) is bytes else k for k in keys]
+        out = [b""] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        rest = [i for i, p in enumerate(pieces) if p != "\0" and not (p[0] == " " and p[1:].isalpha())]
         for at in range(0, len(words), 1024):
             group = words[at : at + 1024]
-            encoded = self.library.encode("".join(group), add_special_tokens=False)
-            place = np.array(encoded.word_ids)
-            if place[-1] == len(group) - 1:
-                ids, ends = np.array(encoded.ids, "<u4").tobytes(), np.searchsorted(place, np.arange(len(group)), "right").tolist()
-                found.update(zip(group, (ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
-        return [found[p] if p in found else self.whole(p) for p in pieces]
-
-    def _distinct(self, text: str, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[list[str], np.ndarray]:
+            ids = np.array(self.library.encode_batch_fast(["".join([pieces[i] for i in group])], add_special_tokens=False)[0].ids, "<u4")
+            starts = 4 * np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(group):
+                packed, starts = ids.tobytes(), starts.tolist()
+                for i, a, b in zip(group, starts, [*starts[1:], len(packed)]):
+                    out[i] = packed[a:b]
+            else:
+                rest += group
+        for i in rest:
+            out[i] = self.whole(pieces[i])
+        return out
+
+    def _distinct(self, text: str, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes | str], np.ndarray]:
         """Pieces (some may be equal), and the number of each place's piece in that list.
 
-        Pieces of up to 16 characters below 256 are told apart as two integers.
+        Pieces of up to 16 characters below 255 are told apart as two integers and come as
+        Latin-1 bytes, the others as strings.
         """
         n = len(codes)
         narrow = np.zeros(n + 16, np.uint8)
@@ -142,13 +152,16 @@ class Encoder:
         wide = np.cumsum(codes > 254)
         odd = (lengths > 16) | (wide[starts + lengths - 1] > wide[starts] - (codes[starts] > 254))
         mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
-        _, first, number = np.unique(mixed, return_index=True, return_inverse=True)
-        odd |= (low != low[first][number]) | (high != high[first][number])  # two pieces of one mixture
+        common, number = np.flatnonzero(~odd), np.zeros(len(starts), np.int64)
+        _, first, of = np.unique(mixed[common], return_index=True, return_inverse=True)
+        first, number[common] = common[first], of
+        odd[common] = (low[common] != low[first][of]) | (high[common] != high[first][of])  # two pieces of one mixture
         others = np.flatnonzero(odd)
-        number = number.copy()
         number[others] = len(first) + np.arange(len(others))
-        places = np.concatenate([first, others])
-        return [text[a:b] for a, b in zip(starts[places].tolist(), (starts + lengths)[places].tolist())], number
+        ends, packed = starts + lengths, narrow.tobytes()
+        pieces: list[bytes | str] = [packed[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        pieces += [text[a:b] for a, b in zip(starts[others].tolist(), ends[others].tolist())]
+        return pieces, number
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         text = "\0".join(texts) + "\0"
@@ -158,7 +171,7 @@ class Encoder:
         ends = np.flatnonzero(codes[starts] == 0)  # the pieces that end a text
         pieces, number = self._distinct(text, codes, starts, lengths)
         known = self.pieces.holding(pieces)
-        ids = [b"" if p == "\0" else known[p] for p in pieces]
+        ids = list(map(known.__getitem__, pieces))  # none of a zero
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[number]
