@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a temporary folder is taken.
+    Only where it is unset and one machine does all the work (tests, a laptop) a temporary
+    folder is taken; on a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidecast-")
+        root = context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidecast-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
@@ -72,18 +78,6 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: Up to so many ids are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` whose id is not in ``ids`` (one column, materialised, distinct)."""
-    name = ids.columns[0]
-    side = ids.select(F.col(name).alias("__id"))
-    side = F.broadcast(side) if ids.count() <= BROADCAST_IDS else side
-    return docs.join(side, F.col(id_col) == F.col("__id"), "left_anti")
-
-
 def bounded_sample(df: DataFrame, key: str, rows: int, of: int) -> DataFrame:
     """About ``rows`` of the ``of`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more.
 

@@ -1,10 +1,12 @@
 """Near-duplicates by word shingles: every pair of a Jaccard similarity of 0.8 or more is linked.
 
 Documents with equal sets of shingles are merged first, so copies cost one row. Candidates
-share one of BANDS keys, each of ROWS min-hashes: a pair at similarity 0.8 meets in a key with a
-probability of 1 - 1.3e-7, one at 0.1 with 4e-4. Candidates are verified by the true
-similarity of their shingle sets. First each member of a key is compared with the key's smallest document; all
-pairs are compared only where a key still holds documents of different components.
+are the links of SimHash fingerprints in vantage-point leaves and, as these reach only the closest
+copies, documents that share one of BANDS keys, each of ROWS min-hashes: a pair at similarity 0.8
+meets in a key with a probability of 1 - 1.3e-7, one at 0.1 with 4e-4. All candidates are
+verified by the true similarity of their shingle sets. First each member of a key is compared with
+the key's smallest document; all pairs are compared only where a key still holds documents of
+different components.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
+from .simhash import majority, near_duplicates, shingle_hashes
 
 SHINGLE_WORDS = 5
 BANDS = 40
@@ -33,15 +36,6 @@ _C = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND = _RNG.integers(0, 2**64, BANDS, dtype=np.uint64)
 
 
-def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the space-joined word shingles; a shorter text is one shingle."""
-    from xxhash import xxh64_intdigest
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n))
-
-
 def band_keys(s: np.ndarray) -> np.ndarray:
     """One key for each band of min-hashes of a set; none for the empty set."""
     if not len(s):
@@ -54,19 +48,27 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).sum(1, dtype=np.uint64) + _BAND
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, th, text``: a row is known by its id and a hash of its text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, same`` (a hash of the whole set) and ``keys`` of ``doc_id, text``."""
+    """``doc_id, th, same`` (a hash of the whole set), ``node`` (its first 64 bits), ``fp`` (fingerprint) and ``keys`` of ``doc_id, th, text``."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = [band_keys(s).view(np.int64) for s in sets]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"]
-            )
+            hashes = [shingle_hashes(t or "", SHINGLE_WORDS) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            same = [xxh3_128_digest(s.tobytes()) for s in sets]
+            nodes = np.frombuffer(b"".join(d[:8] for d in same), np.int64)
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(nodes), pa.array(prints), keys], names=["doc_id", "th", "same", "node", "fp", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, same binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, same binary, node long, fp long, keys array<long>")
 
 
 def bounded(side: DataFrame) -> DataFrame:
@@ -74,44 +76,75 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v; materialised) whose shingle sets are similar enough."""
+def verified(docs: DataFrame, merged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (nodes u, v; materialised) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [np.unique(shingle_hashes(t or "", SHINGLE_WORDS)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = cut(docs.join(bounded(ids), "doc_id").select("doc_id", "text").mapInArrow(run, "id long, s array<long>"))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = cut(merged.join(ids, "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")))
+    wanted = docs.join(bounded(ids), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("t"))).select("node", "text")
+    sets = cut(wanted.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     return cut(both.where(shared * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR).select("u", "v").distinct())
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of each document that is not its component's smallest.
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows to drop, rows to keep once), both ``doc_id, th`` with th the xxhash64 of the text.
 
-    Null and empty texts are equal. Null ids are neither compared nor in the result;
-    texts under one id count as one document.
+    Of each component the row with the smallest id stays (null ids last, then the smaller hash of the
+    text). The second table has those of them that occur more than once. Null and empty texts
+    are equal. Two sets of shingles are taken for one if 64 bits of their hashes agree.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = keyed(docs, id_col, text_col)
     rows = cut(sketches(texts))
-    merged = cut(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    bands = merged.select("rep", F.explode("keys").alias("key"))
-    shared = cut(bands.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least"))
+    name = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    merged = cut(
+        rows.groupBy("same").agg(F.first("node").alias("node"), F.min(name).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    )
+    close = near_duplicates(merged.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v"))
+    bands = merged.select("node", F.explode("keys").alias("key"))
+    shared = cut(bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least"))
     members = cut(bands.join(bounded(shared), "key"))
 
-    stars = cut(members.where("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct())
-    links = verified(texts, stars)
-    placed = members.join(components(links), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    stars = cut(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).unionByName(close).distinct())
+    links = verified(texts, merged, stars)
+    placed = members.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
     rest = cut(placed.join(bounded(mixed), "key"))
     a, b = rest.toDF("key", "u", "x"), rest.toDF("key", "v", "y")
     others = a.join(b, "key").where("x <> y and u < v").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    links = links.unionByName(verified(texts, cut(others)))
+    links = links.unionByName(verified(texts, merged, cut(others)))
+
+    labels = merged.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    labels = cut(labels.where("component is not null or copies > 1").select("same", "first", F.coalesce("component", "node").alias("comp")))
+    keep = labels.groupBy("comp").agg(F.min("first").alias("keep"))
+    groups = cut(labels.join(keep, "comp").select("same", "keep"))
+    grouped = cut(rows.join(bounded(groups), "same").select("doc_id", "th", name.eqNullSafe(F.col("keep")).alias("stays")).groupBy("doc_id", "th", "stays").agg(F.count(F.lit(1)).alias("n")))
+    return grouped.where("not stays").select("doc_id", "th"), grouped.where("stays and n > 1").select("doc_id", "th")
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest id.
+
+    Row by row: a null id is no protection (null ids come last), rows of equal id and text are copies of
+    each other (any one of them stays), and rows that share an id but not the text are told apart. All
+    null, empty and blank texts are copies of each other. All columns stay as they are; an
+    empty table stays empty.
+    """
+    drop, once = near_copies(docs, id_col=id_col, text_col=text_col)
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+    def of(side: DataFrame):
+        return bounded(side.toDF("__d", "__t")), F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
 
-    same = rows.join(merged.select("same", "rep"), "same").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    return components(links.unionByName(same)).where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).distinct()
+    rows = rows.join(*of(drop), "left_anti")
+    if once.limit(1).count():
+        rows = rows.join(*of(once), "left_anti").unionByName(rows.join(*of(once), "left_semi").dropDuplicates(["__id", "__th"]))
+    return rows.select(*docs.columns)

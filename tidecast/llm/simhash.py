@@ -35,24 +35,35 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SLOTS = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: str, shingle_words: int = 3) -> int:
-    """64-bit SimHash of the space-joined word shingles, repeats included."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of the space-joined word shingles in order, repeats included; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle_words + 1)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(found), max(1, len(found) - words + 1)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
-    ends = ends[len(words) - n :].tolist()
-    h = np.fromiter([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64, n)
-    counts = np.bincount((h.view(np.uint8).reshape(n, 8) + _SLOTS).ravel(), minlength=2048).reshape(8, 256)
-    bits = (2 * (counts @ _BITS) > n).ravel()
+    ends = ends[len(found) - n :].tolist()
+    return np.fromiter([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of ``h``; none of no hashes."""
+    if not len(h):
+        return 0
+    counts = np.bincount((h.view(np.uint8).reshape(len(h), 8) + _SLOTS).ravel(), minlength=2048).reshape(8, 256)
+    bits = (2 * (counts @ _BITS) > len(h)).ravel()
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, shingle_words: int = 3) -> int:
+    """64-bit SimHash of the word shingles."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long). Null texts count as empty: fingerprint 0."""
 
@@ -203,6 +214,10 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, reach: int = 2) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every document."""
+    """``doc_id, fingerprint, component_id`` for every document.
+
+    Null, empty and blank texts have fingerprint 0; texts of any length are taken whole. Rows with
+    null or repeated ids are linked like all others; see ``near_duplicates``.
+    """
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words))
     return near_duplicates(fps, reach=reach).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
