@@ -100,12 +100,13 @@ def slow_lines(docs, least):
     first = {}
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n")):
-            if len(line) >= least:
+            if line:
                 first.setdefault(line, (d, i))
-    near = {x for x in first if any(first[y] < first[x] and within_one(x, y) for y in first if y != x)}
+    long = [x for x in first if len(x) >= least]
+    near = {x for x in long if any(first[y] < first[x] and within_one(x, y) for y in long if y != x)}
     out = {}
     for d, t in docs:
-        kept = [x for i, x in enumerate((t or "").split("\n")) if len(x) < least or (x not in near and first[x] == (d, i))]
+        kept = [x for i, x in enumerate((t or "").split("\n")) if not x or (x not in near and first[x] == (d, i))]
         out[d] = None if t is None else "\n".join(kept)
     return out
 
@@ -127,6 +128,16 @@ def test_line_dedup_repeated_rows(spark):
     assert got == [(1, "a line that repeats\nx"), (1, "a line that repeats\nx"), (2, "y"), (2, "z")]
 
 
+def test_line_dedup_long_text(spark):
+    """Many lines in one text take linear time, and counts replace columns of their names."""
+    lines = [f"line number {i} of a very long text" for i in range(0, 40_000, 20)]
+    df = spark.createDataFrame([(1, "\n".join(lines), 7), (2, "\n".join(lines * 10), 8)], "doc_id long, text string, n_lines int")
+    out = line_dedup.dedup_lines(df, counts=True)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[2].n_lines == 20_000 and rows[2].n_dropped == 20_000 and rows[2].text == ""
+
+
 def test_alignment_against_edit_distance():
     rng = random.Random(9)
 

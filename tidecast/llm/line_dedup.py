@@ -69,12 +69,12 @@ def shared_ranges(lines: DataFrame, ranges: DataFrame, parts: Column) -> DataFra
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """``doc, th, drops``: the line numbers to drop, for each document that has any."""
-    rows = hashed(line_rows(docs, id_col, text_col)).where(F.length("line") >= min_chars)
+    rows = hashed(line_rows(docs, id_col, text_col)).where(F.length("line") > 0)
     order = F.struct("doc", "th", "line_no")
     firsts = cut(rows.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")))
 
     # the halves are hashed where the lines are read, so no text moves for lines that share none
-    sized = rows.select("h", "line", F.length("line").alias("n"))
+    sized = rows.where(F.length("line") >= min_chars).select("h", "line", F.length("line").alias("n"))
     half = F.col("n").bitwiseAND(1)  # of n + 1 when n is odd, the first half is one longer
 
     def cut_out(m: Column, lo: Column, hi: Column, outside: Column) -> Column:
@@ -114,23 +114,26 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, counts: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``; all rows and columns stay.
 
-    Lines of under ``min_chars`` characters (code points) are left alone. Null
-    texts stay null and empty texts empty; a text all of whose lines go becomes
-    empty. Rows with equal id and text count as one document and come out alike;
-    null ids sort first. With ``counts``, ``n_lines`` and ``n_dropped`` are added.
+    A line goes if an equal line stands earlier, whatever its length, or, from ``min_chars``
+    characters (code points) on, one within one edit: in a shorter line one edit changes too much of what it says.
+    Empty lines stay. Null texts stay null and empty texts empty; a text all of whose lines go
+    becomes empty; texts and lines may have any length. Rows with equal id and text count as one
+    document and come out alike; null ids sort first; an empty table stays empty. With
+    ``counts``, ``n_lines`` and ``n_dropped`` are added (in place of columns of these names).
     """
     drops = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
     drops = drops.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__of", F.xxhash64(text)).join(
-        drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left"
-    )
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drops")))
+    joined = docs.withColumn("__of", F.xxhash64(text)).join(drops, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__th")), "left")
+    # the parts are a column, used more than once, so that they are not split again for each line
+    parts = F.when(F.col("__drops").isNotNull(), F.split(F.col(text_col).cast("string"), "\n"))
+    joined = joined.withColumn("__parts", parts)
+    stays = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__drops")))
     kept = F.when(F.col("__drops").isNull(), F.col(text_col).cast("string")).otherwise(
-        F.array_join(F.transform(stays, lambda i: F.element_at(parts, i + 1)), "\n")
+        F.array_join(F.transform(stays, lambda i: F.element_at(F.col("__parts"), i + 1)), "\n")
     )
-    out = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    added = ("n_lines", "n_dropped") if counts else ()
+    out = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in added]
     if counts:
         out += [F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*out)

@@ -80,26 +80,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity)
 }
 
-#: A line of 20 or more characters goes where an equal line or one within one edit stands
-#: earlier. Pairs within one edit share the first half of the longer line or the rest.
+#: A line goes where an equal line stands earlier, or, if it has 20 or more characters, one of 20 or
+#: more within one edit. Pairs within one edit share the first half of the longer line or the rest.
 LINE_DEDUP_SQL = """
 with d as (select doc_id, coalesce(text, '') as text from documents),
 lines as (
   select doc_id, i - 1 as line_no, parts[i] as line
   from (select doc_id, string_split(text, chr(10)) as parts, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from d)
 ),
-firsts as (select line, min(struct_pack(a := doc_id, b := line_no)) as f, length(line) as n from lines where length(line) >= 20 group by line),
+firsts as (select line, min(struct_pack(a := doc_id, b := line_no)) as f, length(line) as n from lines where length(line) > 0 group by line),
 keys as (
-  select line, f, m, 0 as side, substring(line, 1, m // 2) as part from (select *, unnest([n, n + 1]) as m from firsts)
+  select line, f, m, 0 as side, substring(line, 1, m // 2) as part from (select *, unnest([n, n + 1]) as m from firsts where n >= 20)
   union all
-  select line, f, m, 1, substring(line, n - (m - m // 2) + 1, m - m // 2) from (select *, unnest([n, n + 1]) as m from firsts)
+  select line, f, m, 1, substring(line, n - (m - m // 2) + 1, m - m // 2) from (select *, unnest([n, n + 1]) as m from firsts where n >= 20)
 ),
 near as (
   select distinct x.line from keys x join keys y on x.m = y.m and x.side = y.side and x.part = y.part and x.f > y.f and x.line <> y.line
   where levenshtein(x.line, y.line) <= 1
 ),
 flagged as (
-  select l.*, length(l.line) >= 20 and (n.line is not null or struct_pack(a := l.doc_id, b := l.line_no) <> f.f) as gone
+  select l.*, length(l.line) > 0 and (n.line is not null or struct_pack(a := l.doc_id, b := l.line_no) <> f.f) as gone
   from lines l left join firsts f on l.line = f.line left join near n on l.line = n.line
 )
 select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where not coalesce(gone, false)), '') as text,
