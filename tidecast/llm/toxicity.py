@@ -91,7 +91,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """``n, gram, context, suffix`` (hashes; the suffix is the gram of the next shorter order) and counts."""
+    """``n, gram, context, suffix`` (hashes; the suffix is the gram of the next shorter order) and counts.
+
+    Only the longest grams have counts: of the shorter ones it matters only which there are.
+    """
     names = ["n", "gram", "context", "suffix", *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
             counts = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)[owner]
             for i, n in enumerate(ORDERS):
                 keys, first, back = np.unique(gram[i], return_index=True, return_inverse=True)
-                sums = [np.bincount(back, c, len(keys)).astype(np.int64) for c in counts.T]
+                sums = [np.bincount(back, c, len(keys)).astype(np.int64) if n == ORDER else np.zeros(len(keys), np.int64) for c in counts.T]
                 suffix = gram[i - 1][first] if i else np.zeros(len(keys), np.uint64)
                 yield pa.record_batch(
                     [pa.array(np.full(len(keys), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (keys, context[i][first], suffix)), *map(pa.array, sums)], names=names
@@ -112,6 +115,13 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy("n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written as Parquet to the shared folder (smaller than a checkpoint) and read again."""
+    path = f"{shared_root(rows.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def keyed(rows: DataFrame, names: list[str]) -> str:
     """The folder to which ``key`` and counts are written; tasks read it, so nothing passes through the driver."""
     path = f"{shared_root(rows.sparkSession)}/toxicity-{uuid.uuid4().hex}"
@@ -270,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = cut(label_rows(labels, label_col, label_id).withColumn("fold", F.pmod(F.xxhash64("lab_id"), F.lit(2)).cast("int")))
     side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     texts = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(side, "lab_id")
-    table = cut(gram_counts(word_counts(texts.select("text", "fold", "y"))))
+    table = stored(gram_counts(word_counts(texts.select("text", "fold", "y"))))
     model = tables(table)
     sample = cut(bounded_sample(known, "lab_id", CALIBRATION_ROWS, known.count()))
     chosen = docs.select(F.col(id_col).cast("long").alias("lab_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "lab_id")
@@ -284,9 +294,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **columns) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
-    Null and empty texts have no evidence and are scored like the rest; without
-    both classes among the labels all scores are the smoothed share of label 1.
-    Repeated rows and null ids stay; other columns are ignored.
+    Null and empty texts have no evidence and are scored like the rest; texts of any length are
+    scored whole; without both classes among the labels all scores are the smoothed share of
+    label 1. Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
     """
     model, calibration = train(docs, labels, id_col=id_col, text_col=text_col, **columns)
 
@@ -300,7 +310,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **columns) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``: row by row, without a join."""
+    """``docs`` without the rows whose score reaches ``threshold``: row by row, without a join.
+
+    Nulls, empty and long texts are treated as in ``score_toxicity``; repeated rows get equal scores; null ids and all columns stay.
+    """
     model, calibration = train(docs, labels, id_col=id_col, text_col=text_col, **columns)
     at, names = docs.columns.index(text_col), docs.schema
 
