@@ -3,10 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidecast.operators import ratings
+from tidecast.operators import history, ratings
+from tidecast.plans import features
 from tidecast.sources.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +74,31 @@ def test_checksums_cover_the_growing_table(spark):
     rows = spark.read.json(sorted(set(out.inputFiles())))
     assert rows.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert out.count() == len(set(out.inputFiles())) and out.where(F.col("wanted") != "0").isEmpty()
+
+
+@pytest.mark.parametrize("gate", ["kickoff", "available"])
+def test_slices_of_time_hand_on_their_state(spark, monkeypatch, gate):
+    """Ratings in many slices are those of one pass."""
+    matches = view(spark, SF, "matches").orderBy("match_id").limit(400).withColumn("half", F.length("team1") % 2)
+    cfg = ratings.Elo(gate=gate)
+    whole = {r.match_id: r for r in ratings.elo_features(matches, cfg, pool="half").collect()}
+    strengths = {r.match_id: r for r in ratings.online_strengths(matches).collect()}
+    monkeypatch.setattr(ratings, "SLICE_ROWS", 90)
+    assert {r.match_id: r for r in ratings.elo_features(matches, cfg, pool="half").collect()} == whole and len(whole) == 400
+    assert {r.match_id: r for r in ratings.online_strengths(matches).collect()} == strengths
+
+
+def test_opponents_rating_adjusts_the_goal_difference(spark):
+    """In the whole table a win over a stronger side counts for more."""
+    rows = [("1", "2020-01-01", "a", "b", 1, 0), ("2", "2020-02-01", "a", "c", 0, 0), ("3", "2020-02-01", "b", "c", 0, 0), ("4", "2020-03-01", "a", "d", 0, 0)]
+    m = spark.createDataFrame(rows, "match_id string, day string, team1 string, team2 string, team1_goals int, team2_goals int")
+    m = m.select("*", F.to_timestamp("day").alias("kickoff_utc"), F.to_timestamp("day").alias("available_at"), F.lit("Friendly").alias("tournament"), F.lit(True).alias("neutral"))
+    elo = {"1": (1900.0, 1500.0), "2": (1500.0, 1500.0), "3": (1500.0, 1500.0), "4": (1500.0, 1500.0)}
+    rated = m.join(spark.createDataFrame([(k, *v) for k, v in elo.items()], "match_id string, elo_team1_pre double, elo_team2_pre double"), "match_id")
+    sides = {(r.match_id, r.side): r.opponent_adjusted_goal_diff for r in history.team_rows(rated, elo=("elo_team1_pre", "elo_team2_pre")).collect()}
+    assert sides[("1", "team1")] == 1.0 and sides[("1", "team2")] == 0.0
+    table = {r.match_id: r for r in features.feature_table(m).collect()}
+    pre = {r.match_id: r for r in ratings.elo_features(m).collect()}
+    want = 0 + (pre["2"].elo_team2_pre - 1500) / 400  # a's last match before the fourth was that with c
+    both = (1.0 + (pre["1"].elo_team2_pre - 1500) / 400 + want) / 2
+    assert abs(table["4"].team1_opponent_adjusted_goal_diff_roll5 - both) < 1e-9

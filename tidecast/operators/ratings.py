@@ -2,14 +2,17 @@
 
 The recurrence couples both teams of each match, so it is sequential within a pool
 (a league or region) and parallel across pools; ``team_pools`` finds the pools as
-connected components where none are known. One pool is one task of its matches in
-order; matches at one kickoff see the same state.
+connected components where none are known. Time is cut into slices of about SLICE_ROWS
+matches: one task takes a pool's matches of one slice in order and hands the state of its teams
+(ratings, last ones and pending changes) to the next slice, so memory grows with the teams and
+not with the matches. Matches at one kickoff see the same state.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import IMPORTANCE, importance, micros
+from ..sources.scratch import shared_folder
 from .history import global_rate
 
 YEAR_MICROS = 365.25 * 86_400e6
+#: Matches of one slice of time, over all pools.
+SLICE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +58,7 @@ def team_pools(matches: DataFrame, max_rounds: int = 50) -> DataFrame:
     Labels jump along their own labels, so rounds grow with the logarithm of the
     longest chain; each round is checkpointed.
     """
+    shared_folder(matches.sparkSession)
     edges = matches.select("team1", "team2").distinct()
     both = edges.unionByName(edges.select(F.col("team2").alias("team1"), F.col("team1").alias("team2"))).distinct().checkpoint()
     labels = both.groupBy(F.col("team1").alias("team")).agg(F.least(F.min("team1"), F.min("team2")).alias("pool")).checkpoint()
@@ -75,17 +82,50 @@ def batches(pdf: pd.DataFrame):
         yield int(k[a]), a, b
 
 
-def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int]) -> pd.DataFrame:
+def in_slices(rows: DataFrame, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], schema: str) -> DataFrame:
+    """``step`` over each pool of ``rows`` (pool, k, ...), slice by slice of k; it gets and returns the pool's state."""
+    slices = -(-rows.count() // SLICE_ROWS)
+    if slices <= 1:
+        return rows.groupBy("pool").applyInPandas(lambda pdf: step(pdf, None)[0], schema)
+    shared_folder(rows.sparkSession)
+    at = [i / slices for i in range(1, slices)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("k", at, 10_000)).first()[0]))
+    kind = rows.schema["pool"].dataType.simpleString()
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        state = pickle.loads(right["state"].iat[0]) if len(right) else None
+        pool = (left if len(left) else right)["pool"].iat[0]
+        out, state = step(left, state)
+        out["of"], out["state"] = None, None
+        last = pd.DataFrame({**{c: pd.Series([None], dtype=out[c].dtype if len(out) else object) for c in names}, "of": [pool], "state": [pickle.dumps(state)]})
+        return pd.concat([out, last], ignore_index=True)
+
+    state = rows.sparkSession.createDataFrame([], f"pool {kind}, state binary")
+    done = None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows
+        part = part.where(F.col("k") > low) if low is not None else part
+        part = part.where(F.col("k") <= high) if high is not None else part
+        now = part.groupBy("pool").cogroup(state.groupBy("pool")).applyInPandas(both, f"{schema}, of {kind}, state binary").checkpoint()
+        state = now.where("state is not null").select(F.col("of").alias("pool"), "state")
+        found = now.where("state is null").select(*names)
+        done = found if done is None else done.unionByName(found)
+    return done
+
+
+def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int], state: tuple | None = None) -> tuple[pd.DataFrame, tuple]:
     pdf = pdf.sort_values(["k", "match_id"], ignore_index=True)
     t1, t2 = pdf["team1"].to_numpy(), pdf["team2"].to_numpy()
     g1, g2, weight, a = pdf["team1_goals"].to_numpy(), pdf["team2_goals"].to_numpy(), pdf["importance"].to_numpy(), pdf["a"].to_numpy()
     bonus1 = np.where(pdf["neutral"].astype(bool), 0.0, cfg.home) + cfg.host * pdf["host1"].to_numpy()
     bonus2 = cfg.host * pdf["host2"].to_numpy()
-    rating: dict[str, float] = {}
-    played: dict[str, int] = {}
-    known: dict[str, int] = {}
-    past: dict[str, deque[float]] = {}
-    pending: list[tuple[int, str, float]] = []
+    rating: dict[str, float]
+    played: dict[str, int]
+    known: dict[str, int]
+    past: dict[str, deque[float]]
+    pending: list[tuple[int, str, float]]
+    rating, played, known, past, pending = state or ({}, {}, {}, {}, [])
     out: dict[str, list] = {c: [] for c in elo_columns(windows)}
     for now, lo, hi in batches(pdf):
         if cfg.gate == "available":
@@ -124,7 +164,7 @@ def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int]) -> pd.DataF
             for team in (t1[i], t2[i]):
                 known[team] = max(int(a[i]), known.get(team, int(a[i])))
                 past.setdefault(team, deque(maxlen=max(windows, default=1))).append(current[team])
-    return pd.DataFrame(out).astype({"elo_team1_known": "Int64", "elo_team2_known": "Int64"})
+    return pd.DataFrame(out).astype({"elo_team1_known": "Int64", "elo_team2_known": "Int64"}), (rating, played, known, past, pending)
 
 
 def elo_columns(windows: Sequence[int]) -> list[str]:
@@ -141,19 +181,20 @@ def elo_features(matches: DataFrame, cfg: Elo = Elo(), windows: Sequence[int] =
     )
     kinds = {"match_id": "string", "elo_team1_known": "long", "elo_team2_known": "long"}
     schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in elo_columns(windows))
-    out = rows.groupBy("pool").applyInPandas(lambda pdf: elo_of_pool(pdf, cfg, windows), schema)
+    out = in_slices(rows, lambda pdf, state: elo_of_pool(pdf, cfg, windows, state), schema)
     return out.withColumns({f"elo_team{s}_available_at": F.timestamp_micros(f"elo_team{s}_known") for s in (1, 2)}).drop("elo_team1_known", "elo_team2_known")
 
 
 STRENGTHS = ["match_id", "online_attack_team1_pre", "online_defence_team1_pre", "online_attack_team2_pre", "online_defence_team2_pre", "online_global_goals_pre", "online_lambda_team1_pre", "online_lambda_team2_pre"]
 
 
-def strengths_of_pool(pdf: pd.DataFrame, cfg: OnlinePoisson) -> pd.DataFrame:
+def strengths_of_pool(pdf: pd.DataFrame, cfg: OnlinePoisson, state: tuple | None = None) -> tuple[pd.DataFrame, tuple]:
     pdf = pdf.sort_values(["k", "match_id"], ignore_index=True)
-    attack: dict[str, float] = {}
-    defence: dict[str, float] = {}
-    seen: dict[str, int] = {}
-    pending: list[tuple[int, str, float, float]] = []
+    attack: dict[str, float]
+    defence: dict[str, float]
+    seen: dict[str, int]
+    pending: list[tuple[int, str, float, float]]
+    attack, defence, seen, pending = state or ({}, {}, {}, [])
     out: list[tuple] = []
     rows = list(pdf[["match_id", "team1", "team2", "team1_goals", "team2_goals", "neutral", "a", "goals_rate"]].itertuples(index=False, name=None))
     for now, lo, hi in batches(pdf):
@@ -171,7 +212,7 @@ def strengths_of_pool(pdf: pd.DataFrame, cfg: OnlinePoisson) -> pd.DataFrame:
             rx, ry = (cfg.learning_rate * min(max(g - rate_of, -cfg.max_residual), cfg.max_residual) for g, rate_of in ((gx, lx), (gy, ly)))
             out.append((ident, attack[x], defence[x], attack[y], defence[y], rate, lx, ly))
             pending += [(known, x, rx, -ry), (known, y, ry, -rx)]
-    return pd.DataFrame(out, columns=STRENGTHS)
+    return pd.DataFrame(out, columns=STRENGTHS), (attack, defence, seen, pending)
 
 
 def online_strengths(matches: DataFrame, cfg: OnlinePoisson = OnlinePoisson(), pool: str | None = None, available_col: str = "available_at") -> DataFrame:
@@ -185,6 +226,6 @@ def online_strengths(matches: DataFrame, cfg: OnlinePoisson = OnlinePoisson(), p
         (F.col(pool) if pool else F.lit(0)).alias("pool"), "match_id", micros("kickoff_utc").alias("k"), micros(available_col).alias("a"), "team1", "team2", "team1_goals", "team2_goals", "neutral"
     ).join(rate, "match_id")
     schema = ", ".join(f"{c} {'string' if c == 'match_id' else 'double'}" for c in STRENGTHS)
-    out = rows.groupBy("pool").applyInPandas(lambda pdf: strengths_of_pool(pdf, cfg), schema)
+    out = in_slices(rows, lambda pdf, state: strengths_of_pool(pdf, cfg, state), schema)
     a, b = F.col("online_lambda_team1_pre"), F.col("online_lambda_team2_pre")
     return out.select("*", (a - b).alias("online_lambda_diff_pre"), (a + b).alias("online_lambda_total_pre"), F.log(a / b).alias("online_log_lambda_ratio_pre"))
