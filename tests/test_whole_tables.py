@@ -32,7 +32,7 @@ def union_find(pairs):
 
 def test_pools_of_all_matches(spark):
     played = [(r.team1, r.team2) for r in view(spark, SF, "matches").collect()]
-    assert {r.team: r.pool for r in entry.queries()["w11_pools_all"](spark, SF).collect()} == union_find(played)
+    assert {r.team: r.pool for r in entry.queries()["w11_pools"](spark, SF).collect()} == union_find(played)
 
 
 def test_pools_of_many_components(spark):
