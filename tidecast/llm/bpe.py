@@ -73,30 +73,72 @@ def piece_starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~joined)
 
 
+def gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` of the given first places and sizes, one after the other."""
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(first - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
+class Table:
+    """Ids of pieces of up to 16 narrow characters (two integers, told apart by their mixture), sorted by mixture."""
+
+    def __init__(self) -> None:
+        self.keys = [np.zeros(0, np.uint64) for _ in range(3)]  # mixture, low, high
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The place of each piece here, or -1."""
+        if not len(self):
+            return np.full(len(keys[0]), -1)
+        at = np.minimum(np.searchsorted(self.keys[0], keys[0]), len(self) - 1)
+        return np.where(np.logical_and.reduce([mine[at] == k for mine, k in zip(self.keys, keys)]), at, -1)
+
+    def add(self, keys: list[np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keys in ascending order; one whose mixture is here already just stands beside it."""
+        at = np.searchsorted(self.keys[0], keys[0])
+        self.keys = [np.insert(mine, at, k) for mine, k in zip(self.keys, keys)]
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class Recent:
-    """A cache of two generations, each of ``most`` characters of keys (and 16 more for each key).
+    """Tables of two generations, each of about ``most`` pieces.
 
     When the young one is full it becomes the old one; what was not met since is
-    then forgotten, so frequent keys are never learned twice.
+    then forgotten, so frequent pieces are never learned twice.
     """
 
-    def __init__(self, learn: Callable[[list], list[bytes]], most: int):
-        self.learn, self.most, self.size = learn, most, 0
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def holding(self, keys: list) -> dict:
-        """A dictionary with all of ``keys``."""
-        if self.size > self.most:
-            self.old, self.young, self.size = self.young, {}, 0
-        young = self.young
-        keys = [k for k in keys if k not in young]
-        known = list(map(self.old.get, keys))
-        new = [k for k, ids in zip(keys, known) if ids is None]
-        young.update(zip(keys, known))
-        young.update(zip(new, self.learn(new)))
-        self.size += sum(map(len, keys)) + 16 * len(keys)
-        return young
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, Table(), Table()
+
+    def ids_of(self, keys: list[np.ndarray], learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in ascending order, one after the other, and the number of each piece's.
+
+        ``learn`` gives both for the pieces at the places it is asked for.
+        """
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, Table()
+        young, old = self.young.find(keys), self.old.find(keys)
+        sizes, first = np.zeros(len(young), np.int64), np.zeros(len(young), np.int64)
+        here = np.flatnonzero(young >= 0)
+        back = np.flatnonzero((young < 0) & (old >= 0))
+        new = np.flatnonzero((young < 0) & (old < 0))
+        sizes[here] = self.young.sizes[young[here]]
+        sizes[back] = self.old.sizes[old[back]]
+        learned, sizes[new] = learn(new)
+        known = len(self.young.ids)
+        first[here] = self.young.first[young[here]]
+        again = gather(self.old.ids, self.old.first[old[back]], sizes[back])
+        first[back] = known + np.cumsum(sizes[back]) - sizes[back]
+        first[new] = known + len(again) + np.cumsum(sizes[new]) - sizes[new]
+        for at, ids in ((back, again), (new, learned)):
+            self.young.add([k[at] for k in keys], ids, sizes[at])
+        return gather(self.young.ids, first, sizes), sizes
 
 
 class Encoder:
@@ -109,41 +151,54 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.chars_at_once = chars_at_once
         ids = self.library.get_vocab(with_added_tokens=True)
-        #: the ids whose bytes begin with a space, as byte-level vocabularies write it
-        self.spaced = np.zeros(max(ids.values()) + 1, bool)
+        #: the ids whose bytes begin with a space, and the one of a line feed, as byte-level vocabularies write them
+        self.spaced, self.feeds = np.zeros((2, max(ids.values()) + 1), bool)
         self.spaced[[i for token, i in ids.items() if token[0] == "Ġ"]] = True
-        self.pieces = Recent(self._learn, cache_chars)
+        self.feeds[ids["Ċ"]] = True
+        self.pieces = Recent(cache_chars // 20)  # about as many pieces
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, keys: list[bytes | str]) -> list[bytes]:
-        """From the library; pieces of a space and letters go there joined, as it cuts them apart again."""
-        pieces = [k.decode("latin-1") if type(k) is bytes else k for k in keys]
-        out = [b""] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
-        rest = [i for i, p in enumerate(pieces) if p != "\0" and not (p[0] == " " and p[1:].isalpha())]
-        for at in range(0, len(words), 1024):
-            group = words[at : at + 1024]
-            ids = np.array(self.library.encode_batch_fast(["".join([pieces[i] for i in group])], add_special_tokens=False)[0].ids, "<u4")
-            starts = 4 * np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(group):
-                packed, starts = ids.tobytes(), starts.tolist()
-                for i, a, b in zip(group, starts, [*starts[1:], len(packed)]):
+    def _learn(self, narrow: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of narrow characters, from the library, and how many each has.
+
+        Pieces of word characters go there many at a time, as it cuts them apart again: before each space with which
+        they begin, or at line feeds put between them.
+        """
+        head, second = _CLASS[narrow[starts]], _CLASS[narrow[starts + 1]]
+        out = [b""] * len(starts)
+        spaced, worded = (head == SPACE) & (lengths > 1) & _IN_WORD[second], _IN_WORD[head]
+        alone = np.flatnonzero(~spaced & ~worded & (head != END)).tolist()
+        for joined, fed, marks in ((spaced, 0, self.spaced), (worded, 1, self.feeds)):
+            members = np.flatnonzero(joined)
+            for group in (members[at : at + 4096] for at in range(0, len(members), 4096)):
+                n = lengths[group] + fed
+                letters = gather(narrow, starts[group] - fed, n)
+                if fed:
+                    letters[np.cumsum(n) - n] = ord("\n")
+                text = letters.tobytes().decode("latin-1")
+                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                at = np.flatnonzero(marks[ids])
+                if len(at) != len(group):
+                    alone += group.tolist()
+                    continue
+                packed = ids.tobytes()
+                for i, a, b in zip(group.tolist(), (4 * (at + fed)).tolist(), [*(4 * at[1:]).tolist(), len(packed)]):
                     out[i] = packed[a:b]
-            else:
-                rest += group
-        for i in rest:
-            out[i] = self.whole(pieces[i])
-        return out
+        for i in alone:
+            out[i] = self.whole(narrow[starts[i] : starts[i] + lengths[i]].tobytes().decode("latin-1"))
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
-    def _distinct(self, text: str, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes | str], np.ndarray]:
-        """Pieces (some may be equal), and the number of each place's piece in that list.
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts, by the distinct pieces of all of them.
 
-        Pieces of up to 16 characters below 255 are told apart as two integers and come as
-        Latin-1 bytes, the others as strings.
+        Pieces of up to 16 characters below 255 are told apart as two integers; the others, which are few, as strings.
         """
-        n = len(codes)
+        text = "\0".join(texts) + "\0"
+        codes = codes_of(text)
+        starts, n = piece_starts(codes), len(codes)
+        lengths = np.diff(np.append(starts, n))
         narrow = np.zeros(n + 16, np.uint8)
         narrow[:n] = np.minimum(codes, 255)
         words = np.ndarray((n + 8,), "<u8", narrow, strides=(1,))
@@ -153,32 +208,19 @@ class Encoder:
         odd = (lengths > 16) | (wide[starts + lengths - 1] > wide[starts] - (codes[starts] > 254))
         mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
         common, number = np.flatnonzero(~odd), np.zeros(len(starts), np.int64)
-        _, first, of = np.unique(mixed[common], return_index=True, return_inverse=True)
+        keys, first, of = np.unique(mixed[common], return_index=True, return_inverse=True)
         first, number[common] = common[first], of
         odd[common] = (low[common] != low[first][of]) | (high[common] != high[first][of])  # two pieces of one mixture
+        ids, sizes = self.pieces.ids_of([keys, low[first], high[first]], lambda at: self._learn(narrow, starts[first[at]], lengths[first[at]]))
         others = np.flatnonzero(odd)
+        strings = [text[a : a + b] for a, b in zip(starts[others].tolist(), lengths[others].tolist())]
+        of_string = {s: self.whole(s) for s in set(strings)}
         number[others] = len(first) + np.arange(len(others))
-        ends, packed = starts + lengths, narrow.tobytes()
-        pieces: list[bytes | str] = [packed[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        pieces += [text[a:b] for a, b in zip(starts[others].tolist(), ends[others].tolist())]
-        return pieces, number
-
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        text = "\0".join(texts) + "\0"
-        codes = codes_of(text)
-        starts = piece_starts(codes)
-        lengths = np.diff(np.append(starts, len(codes)))
-        ends = np.flatnonzero(codes[starts] == 0)  # the pieces that end a text
-        pieces, number = self._distinct(text, codes, starts, lengths)
-        known = self.pieces.holding(pieces)
-        ids = list(map(known.__getitem__, pieces))  # none of a zero
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        ids = np.concatenate([ids, np.frombuffer(b"".join([of_string[s] for s in strings]), "<u4")])
+        sizes = np.concatenate([sizes, np.array([len(of_string[s]) // 4 for s in strings], np.int64)])
         each = sizes[number]
-        upto = np.cumsum(each)
-        total = int(upto[-1])
-        out = flat[np.repeat(first[number] - (upto - each), each) + np.arange(total)].tobytes()
-        cuts = (4 * upto[ends]).tolist()
+        out = gather(ids, (np.cumsum(sizes) - sizes)[number], each).tobytes()
+        cuts = (4 * np.cumsum(each)[codes[starts] == 0]).tolist()
         return [out[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def segments(self, text: str) -> Iterator[str]:
