@@ -64,6 +64,33 @@ def test_template_markup_against_regex():
         license_scan.Automaton("a <<optional>> b")
 
 
+def test_mandatory_wording_of_each_template():
+    """Any choice of the optional and replaceable words is accepted; a changed or missing mandatory word never is."""
+    rng = random.Random(4)
+    for label, template in license_scan.TEMPLATES.items():
+        automaton = license_scan.Automaton(template)
+        for _ in range(20):
+            words, mandatory, opened = [], [], []
+            for piece in re.split(r"(<<[^>]*>>)", template):
+                mark = license_scan.MARKUP.fullmatch(piece)
+                if mark and mark[1] == "optional":
+                    opened.append(rng.random() < 0.5)
+                elif mark and mark[1] == "/optional":
+                    opened.pop()
+                elif all(opened):
+                    new = [rng.choice(["zz", "Öz"]) for _ in range(rng.randint(int(mark[2]), int(mark[3])))] if mark else piece.split()
+                    mandatory += [len(words) + i for i in range(len(new)) if not mark and not opened]
+                    words += new
+
+            def labels(words):
+                text = "Before, " + " ".join(rng.choice(["{}", "{}.", "({})\n"]).format(w.upper() if rng.random() < 0.2 and w.isascii() else w) for w in words) + " after"
+                return license_scan.scan_text(text, [], [(automaton, label)])["labels"].split(",")
+
+            assert label in labels(words)
+            for i in rng.sample(mandatory, min(8, len(mandatory))):
+                assert label not in labels(words[:i] + ["zz"] + words[i + 1 :]) and label not in labels(words[:i] + words[i + 1 :])
+
+
 def test_secrets(spark, odd):
     good = "ghp_" + "a" * 30
     good += secret_scan.base62(zlib.crc32(b"a" * 30), 6)

@@ -26,24 +26,58 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Wording of public license notices, by label.
+_COPYRIGHT = "<<optional>>copyright <<var:1-12>> <<optional>>all rights reserved<</optional>><</optional>>"
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = (
+    "<<optional>>3<</optional>> neither the name of <<var:1-12>> nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission "
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by <<var:1-12>> as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:1-12>> be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Wording of public licenses (whole texts of those that are copied into files, notices of those that are referred to), by label.
 TEMPLATES = {
     "mit": (
-        "<<optional>>the mit license<</optional>> <<optional>>copyright <<var:1-12>> <</optional>> permission is hereby granted free of charge "
-        "to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        "<<optional>><<optional>>the<</optional>> mit license<</optional>> " + _COPYRIGHT + " permission is hereby granted free of charge "
+        "to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "<<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall <<var:1-12>> be liable for any claim damages or other liability whether in an action of "
+        "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
     ),
-    "apache-2": "licensed under the apache license version 2 0 <<optional>>the license<</optional>>",
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted <<optional>>subject to the limitations in the "
-        "disclaimer below<</optional>> provided that the following conditions are met"
+    "apache-2": (
+        "licensed under the apache license version 2 0 <<optional>>the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at <<optional>>http<</optional>> <<optional>>https<</optional>> www apache org licenses license 2 0 unless required "
+        "by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions "
+        "of any kind either express or implied see the license for the specific language governing permissions and limitations under the license<</optional>>"
     ),
+    "bsd-2": _COPYRIGHT + _BSD_TERMS + _BSD_DISCLAIMER,
+    "bsd-3": _COPYRIGHT + _BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER,
     "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
-        "copyright notice and this permission notice appear in all copies"
+        "<<optional>>isc license<</optional>> " + _COPYRIGHT + " permission to use copy modify and or distribute this software for any purpose with or "
+        "without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as "
+        "is and <<var:1-12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall <<var:1-12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
     ),
     "gpl-3": "licensed under the <<optional>>terms of the<</optional>> gnu general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 3",
     "gpl-2": "licensed under the <<optional>>terms of the<</optional>> gnu general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 2",
-    "mpl-2": "subject to the terms of the mozilla public license v 2 0",
+    "mpl-2": (
+        "subject to the terms of the mozilla public license v 2 0 <<optional>>if a copy of the mpl was not distributed with this file you can obtain one at "
+        "<<optional>>http<</optional>> <<optional>>https<</optional>> mozilla org mpl 2 0<</optional>>"
+    ),
     "cc-by": "licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<var:0-1>> license",
     "all-rights-reserved": "copyright <<optional>>c<</optional>> <<var:1-8>> all rights reserved",
 }
