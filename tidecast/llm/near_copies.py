@@ -5,8 +5,8 @@ are the links of SimHash fingerprints in vantage-point leaves and, as these reac
 copies, documents that share one of BANDS keys, each of ROWS min-hashes: a pair at similarity 0.8
 meets in a key with a probability of 1 - 1.3e-7, one at 0.1 with 4e-4. All candidates are
 verified by the true similarity of their shingle sets. First each member of a key is compared with
-the key's smallest document; all pairs are compared only where a key still holds documents of
-different components.
+the key's smallest document; where a key still holds documents of different components, those
+outside its largest component are compared with all of the others.
 """
 
 from __future__ import annotations
@@ -118,8 +118,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     placed = members.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
     rest = cut(placed.join(bounded(mixed), "key"))
-    a, b = rest.toDF("key", "u", "x"), rest.toDF("key", "v", "y")
-    others = a.join(b, "key").where("x <> y and u < v").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    # members of the largest component of a key meet only those outside it
+    largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    a, b = rest.join(largest, "key").where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("x")), rest.toDF("key", "b", "y")
+    others = a.join(b, "key").where("x <> y").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     links = links.unionByName(verified(texts, merged, cut(others)))
 
     labels = merged.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
