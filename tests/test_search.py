@@ -215,3 +215,40 @@ def test_feature_sets_hold_no_result(spark):
         found = context.feature_columns(df, name)
         assert not set(found) & {"match_id", "outcome", "team1_goals", "team2_goals", "win_streak_diff", "tournament"}
         assert "elo_diff_pre" in found and found == [c for c in df.columns if c in found]
+
+
+def test_grid_has_every_feature_set_and_baselines_stand_beside_it(spark, rows):
+    grid = search.grid({"both": COLUMNS, "one": ["a"]}, kinds=["logistic"], cs=(1.0,), half_lives=(4.0,))
+    assert list(grid) == ["both: logistic C=1.0 hl=4.0", "one: logistic C=1.0 hl=4.0"]
+    assert grid["one: logistic C=1.0 hl=4.0"]().model.columns == ["a"]
+    got = [r.candidate for r in search.rolling_search(rows, search.annual_folds(spark, 1993, 1993), grid, baselines={"prior": search.Prior}).collect()]
+    assert sorted(got) == sorted([*grid, "prior"]) and got[-1] == "prior"  # it knows no feature
+
+
+def test_replay_windows_train_on_what_came_before(spark, rows):
+    folds = search.window_folds(spark, {"spring": ("1992-03-01", "1992-05-01"), "later": ("2014-06-12", "2014-07-14")})
+    log = search.out_of_fold(rows, folds, search.Prior).toPandas()
+    pdf = rows.toPandas()
+    inside = pdf[(pdf["kickoff_utc"] >= "1992-03-01") & (pdf["kickoff_utc"] < "1992-05-01")]
+    assert sorted(log["match_id"]) == sorted(inside["match_id"]) and set(log["fold"]) == {"spring"}
+    assert list(search.REPLAYS) == ["world_cup_2014", "world_cup_2018", "world_cup_2022", "tournaments_2024"]
+
+
+def test_finalise_needs_both_gates(spark):
+    """The blend's weights come from the validation; a model that fails on the holdout alone is not promoted."""
+    rng = random.Random(3)
+    data = []
+    for fold in ("1", "2"):
+        for i in range(400):
+            y = rng.randint(0, 2)
+            sure = [0.7 if k == y else 0.15 for k in range(3)]
+            wrong = [0.1 if k == y else 0.45 for k in range(3)]
+            for name, p in (("base", [1 / 3] * 3), ("good", sure), ("lucky", sure if fold == "1" else wrong)):
+                data.append((name, fold, f"m{i}", y, *map(float, p)))
+    log = spark.createDataFrame(data, f"candidate string, fold string, match_id string, outcome int, {', '.join(f'{c} double' for c in PROBABILITIES)}")
+    got, w = search.finalise(log, "base", ["good", "base"], ["2"])
+    found = {(r.model, r.split): r for r in got.collect()}
+    assert len(found) == 8 and w[0] == pytest.approx(1, abs=1e-3)
+    assert all(found[m, s].promoted is p for m, p in (("good", True), ("lucky", False), ("blend", True)) for s in ("validation", "holdout"))
+    assert found["lucky", "validation"].log_loss == pytest.approx(-math.log(0.7)) and found["lucky", "holdout"].log_loss == pytest.approx(-math.log(0.1))
+    assert found["base", "holdout"].promoted is None

@@ -355,23 +355,35 @@ def m15_out_of_fold(spark, d):
     return rounded(log, 4)
 
 
+#: Replay windows in the years of the tables.
+SUMMERS = {"summer_1998": ("1998-06-10", "1998-07-13"), "summer_2000": ("2000-06-10", "2000-07-03")}
+FEATURE_SETS = {"all": COLUMNS, "form": [c for c in COLUMNS if not c.startswith("elo")]}
+
+
+def baselines():
+    return {"class_prior": X.Prior, "elo_logistic": lambda: elo_baseline(COLUMNS)}
+
+
 @query()
 def m16_backtest(spark, d):
+    """Annual folds and the replay of windows."""
     rows = model_table(spark, d)
     models = {"prior": X.Prior, "elo": lambda: elo_baseline(COLUMNS), "logistic": lambda: Multinomial(COLUMNS), "poisson": lambda: TwoPoisson(COLUMNS), "two_stage": lambda: TwoStage(COLUMNS)}
-    return rounded(S.evaluate(X.backtest_log(rows, X.annual_folds(spark, 1999, 2000), models), ["candidate", "fold"]), 4)
+    folds = X.annual_folds(spark, 1999, 2000).unionByName(X.window_folds(spark, SUMMERS))
+    return rounded(S.evaluate(X.backtest_log(rows, folds, models), ["candidate", "fold"]), 4)
 
 
 @query()
 def m17_rolling_search(spark, d):
-    grid = X.candidates(COLUMNS, kinds=["logistic"], cs=(0.03, 1.0), half_lives=(None, 2.0))
-    return rounded(X.rolling_search(model_table(spark, d), X.annual_folds(spark, 1999, 2000), grid), 4)
+    """The whole grid of penalties and half-lives over two feature sets, with both baselines."""
+    grid = X.grid(FEATURE_SETS, kinds=["logistic"], cs=X.CS, half_lives=X.HALF_LIVES)
+    return rounded(X.rolling_search(model_table(spark, d), X.annual_folds(spark, 1999, 2000), grid, baselines=baselines()), 4)
 
 
 @query()
 def m18_rolling_two_stage(spark, d):
-    grid = X.candidates(COLUMNS, kinds=["two_stage"], cs=(0.03, 1.0), half_lives=(None,))
-    return rounded(X.rolling_search(model_table(spark, d), X.annual_folds(spark, 1999, 2000), grid), 4)
+    grid = X.candidates(COLUMNS, kinds=["two_stage"], cs=X.CS, half_lives=X.HALF_LIVES)
+    return rounded(X.rolling_search(model_table(spark, d), X.annual_folds(spark, 1999, 2000), grid, baselines=baselines()), 4)
 
 
 @query()
@@ -390,15 +402,16 @@ def m21_pairwise_blends(spark, d):
 
 @query()
 def m22_finalise(spark, d):
-    """Blend weights from out-of-fold predictions, the baseline beside them, promotion, and the refitted model saved and read again (s15)."""
+    """Blend weights from out-of-fold predictions, both gates (validation 1998 and 1999, holdout 2000), and the refitted model saved and read again (s15)."""
     rows = model_table(spark, d)
-    models = {"baseline": lambda: elo_baseline(COLUMNS), "logistic": lambda: Multinomial(COLUMNS)}
-    log = X.backtest_log(rows, X.annual_folds(spark, 1999, 2000), models).withColumns({"model": F.col("candidate"), "split": F.col("fold")})
-    verdict = S.promotion(S.evaluate(log, ["model", "split"]), "baseline")
+    models = {"baseline": lambda: elo_baseline(COLUMNS), "logistic": lambda: Multinomial(COLUMNS), "poisson": lambda: TwoPoisson(COLUMNS)}
+    log = X.backtest_log(rows, X.annual_folds(spark, 1998, 2000), models)
+    verdict, weights = X.finalise(log, "baseline", ["logistic", "poisson"], ["2000"])
     path = scratch(spark, "champion")
     save_model(Multinomial(COLUMNS).fit(rows), path)
     state = load_state(spark, path)
-    return verdict.withColumns({"kind": F.lit(state["kind"]), "n_columns": F.lit(len(state["columns"]))})
+    extra = {"kind": F.lit(state["kind"]), "n_columns": F.lit(len(state["columns"])), "logistic_weight": F.lit(weights[0]), "poisson_weight": F.lit(weights[1])}
+    return rounded(verdict.withColumns(extra), 4)
 
 
 @query()
