@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import leaks
+from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mpeg_audio import media_columns, store_media
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import score_quality
 from .secret_scan import scan_secrets
 from .simhash import simhash_groups
@@ -75,9 +77,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` as op13 searches it: every tenth document by the checksum of its id repeats a stretch of itself.
+
+    Of its n words those from a on become the words a to a + p - 1, over and over. Documents without words or an id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.where("text is not null").withColumn("g", g).where(h % 10 == 0).select("doc_id", "text", "g", words.alias("w"))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.greatest("n", F.lit(1))).cast("int")))
+    chosen = chosen.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int"))
+    rest = F.col("n") - F.col("a")
+    turns = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), rest))).otherwise(F.col("text"))
+    return chosen.select("doc_id", text.alias("text")).unionByName(docs.where(F.col("text").isNull() | F.col("doc_id").isNull() | (h % 10 != 0)).select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(documents(spark, sf_dir)))
+    # ties of length: the smallest start, then period
+    order = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("back"), (-r["period"]).alias("q")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    text = F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n"))))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(order).alias("best"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.back"), F.col("best.length"), -F.col("best.q")
+    return out.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity)
+    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity, op12_language_id, op13_periodic_runs)
 }
 
 #: A line goes where an equal line stands earlier, or, if it has 20 or more characters, one of 20 or
