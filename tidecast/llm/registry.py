@@ -20,6 +20,7 @@ from .secret_scan import scan_secrets
 from .simhash import simhash_groups
 from .token_files import ids_digest, token_files
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -113,7 +118,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity, op12_language_id, op13_periodic_runs)
+    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity, op11_whitening, op12_language_id, op13_periodic_runs)
 }
 
 #: A line goes where an equal line stands earlier, or, if it has 20 or more characters, one of 20 or
