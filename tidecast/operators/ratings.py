@@ -1,32 +1,37 @@
-"""Sequential ratings: Elo and online Poisson strengths, computed per independent pool.
-
-The recurrence couples both teams of each match, so it is sequential within a pool
-(a league or region) and parallel across pools; ``team_pools`` finds the pools as
-connected components where none are known. Time is cut into slices of about SLICE_ROWS
-matches: one task takes a pool's matches of one slice in order and hands the state of its teams
-(ratings, last ones and pending changes) to the next slice, so memory grows with the teams and
-not with the matches. Matches at one kickoff see the same state.
+"""Sequential ratings: Elo and online Poisson strengths, exact and in bounded tasks.
+
+The recurrence couples both teams of each match, so along a chain of matches it is sequential. But within a short
+slice of time the graph of who plays whom falls apart. Time is cut into slices in which every connected component
+has at most SLICE_ROWS matches (``plan_slices`` halves those with larger ones); components are packed into groups of about
+that size, which run at the same time. A team's state after its matches of a slice is written straight to the next slice
+in which it plays, so a slice reads the states of its own teams and no others. A single instant in which
+more matches hang together needs no order at all: its matches see the same state, and their changes are added up by team.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import IMPORTANCE, importance, micros
-from ..sources.scratch import shared_folder
+from ..sources.scratch import scratch, shared_folder
 from .history import global_rate
 
 YEAR_MICROS = 365.25 * 86_400e6
-#: Matches of one slice of time, over all pools.
-SLICE_ROWS = 2_000_000
+#: A slice of so many matches or fewer is one group; in a larger one no component, and about no group, has more.
+SLICE_ROWS = 200_000
+#: Slices are first tried with so many teams for each match, below the point where most teams of a random graph hang together.
+TEAMS_A_MATCH = 4
+NEVER = np.iinfo(np.int64).min
+#: Where rows of a run's table go besides slices.
+RESULTS, LAST_STATES = -1, -2
 
 
 @dataclass(frozen=True)
@@ -52,7 +57,7 @@ class OnlinePoisson:
     max_residual: float = 3.0
 
 
-def team_pools(matches: DataFrame, max_rounds: int = 50) -> DataFrame:
+def team_pools(matches: DataFrame) -> DataFrame:
     """``team, pool``: connected components of the graph of who played whom, by spreading the least name.
 
     Labels jump along their own labels, so rounds grow with the logarithm of the
@@ -62,170 +67,382 @@ def team_pools(matches: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = matches.select("team1", "team2").distinct()
     both = edges.unionByName(edges.select(F.col("team2").alias("team1"), F.col("team1").alias("team2"))).distinct().checkpoint()
     labels = both.groupBy(F.col("team1").alias("team")).agg(F.least(F.min("team1"), F.min("team2")).alias("pool")).checkpoint()
-    for _ in range(max_rounds):
+    changed = 1
+    while changed:
         near = both.join(labels.withColumnRenamed("team", "team2"), "team2").groupBy(F.col("team1").alias("team")).agg(F.min("pool").alias("near"))
         new = labels.join(near, "team").select("team", F.least("pool", "near").alias("pool"))
         jump = labels.select(F.col("team").alias("pool"), F.col("pool").alias("further"))
         new = new.join(jump, "pool", "left").select("team", F.least("pool", F.coalesce("further", "pool")).alias("pool")).checkpoint()
         changed = new.join(labels.withColumnRenamed("pool", "old"), "team").where("pool <> old").limit(1).count()
         labels = new
-        if not changed:
-            break
     return labels
 
 
-def batches(pdf: pd.DataFrame):
-    """(kickoff, first row, end row) of each batch of equal kickoffs; ``pdf`` is in order."""
-    k = pdf["k"].to_numpy()
-    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(k[a]), a, b
-
-
-def in_slices(rows: DataFrame, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], schema: str) -> DataFrame:
-    """``step`` over each pool of ``rows`` (pool, k, ...), slice by slice of k; it gets and returns the pool's state."""
-    slices = -(-rows.count() // SLICE_ROWS)
-    if slices <= 1:
-        return rows.groupBy("pool").applyInPandas(lambda pdf: step(pdf, None)[0], schema)
-    shared_folder(rows.sparkSession)
-    at = [i / slices for i in range(1, slices)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("k", at, 10_000)).first()[0]))
-    kind = rows.schema["pool"].dataType.simpleString()
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        state = pickle.loads(right["state"].iat[0]) if len(right) else None
-        pool = (left if len(left) else right)["pool"].iat[0]
-        out, state = step(left, state)
-        out["of"], out["state"] = None, None
-        last = pd.DataFrame({**{c: pd.Series([None], dtype=out[c].dtype if len(out) else object) for c in names}, "of": [pool], "state": [pickle.dumps(state)]})
-        return pd.concat([out, last], ignore_index=True)
-
-    state = rows.sparkSession.createDataFrame([], f"pool {kind}, state binary")
-    done = None
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        part = rows
-        part = part.where(F.col("k") > low) if low is not None else part
-        part = part.where(F.col("k") <= high) if high is not None else part
-        now = part.groupBy("pool").cogroup(state.groupBy("pool")).applyInPandas(both, f"{schema}, of {kind}, state binary").checkpoint()
-        state = now.where("state is not null").select(F.col("of").alias("pool"), "state")
-        found = now.where("state is null").select(*names)
-        done = found if done is None else done.unionByName(found)
-    return done
-
-
-def elo_of_pool(pdf: pd.DataFrame, cfg: Elo, windows: Sequence[int], state: tuple | None = None) -> tuple[pd.DataFrame, tuple]:
-    pdf = pdf.sort_values(["k", "match_id"], ignore_index=True)
-    t1, t2 = pdf["team1"].to_numpy(), pdf["team2"].to_numpy()
-    g1, g2, weight, a = pdf["team1_goals"].to_numpy(), pdf["team2_goals"].to_numpy(), pdf["importance"].to_numpy(), pdf["a"].to_numpy()
-    bonus1 = np.where(pdf["neutral"].astype(bool), 0.0, cfg.home) + cfg.host * pdf["host1"].to_numpy()
-    bonus2 = cfg.host * pdf["host2"].to_numpy()
-    rating: dict[str, float]
-    played: dict[str, int]
-    known: dict[str, int]
-    past: dict[str, deque[float]]
-    pending: list[tuple[int, str, float]]
-    rating, played, known, past, pending = state or ({}, {}, {}, {}, [])
-    out: dict[str, list] = {c: [] for c in elo_columns(windows)}
-    for now, lo, hi in batches(pdf):
-        if cfg.gate == "available":
-            for _, team, delta in (p for p in pending if p[0] < now):
-                rating[team] = rating.get(team, cfg.initial) + delta
-            pending = [p for p in pending if p[0] >= now]
-        current: dict[str, float] = {}
-        for team in {*t1[lo:hi], *t2[lo:hi]}:
-            years = max(0.0, (now - played.get(team, now)) / YEAR_MICROS)
-            current[team] = cfg.initial + (rating.get(team, cfg.initial) - cfg.initial) * (1 - cfg.regression_per_year) ** years
-        change = dict.fromkeys(current, 0.0)
-        for i in range(lo, hi):
-            x, y = t1[i], t2[i]
-            expected = 1 / (1 + 10 ** ((current[y] + bonus2[i] - current[x] - bonus1[i]) / 400))
-            actual = 0.5 + 0.5 * float(np.sign(g1[i] - g2[i]))
-            margin = abs(int(g1[i] - g2[i]))
-            scale = 1 + np.log(margin) if cfg.goal_difference and margin > 1 else 1.0
-            delta = cfg.k * weight[i] * scale * (actual - expected)
-            if cfg.gate == "available":
-                pending += [(int(a[i]), x, delta), (int(a[i]), y, -delta)]
+class Group:
+    """Matches of one group in order, their teams as numbers, and where batches of equal kickoffs begin and end."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.rows = pdf.sort_values(["k", "match_id"], ignore_index=True)
+        names = np.stack([self.rows["team1"].to_numpy(object), self.rows["team2"].to_numpy(object)], 1).ravel()
+        codes, self.teams = pd.factorize(names)
+        #: both teams of each match, one after the other
+        self.both = codes.astype(np.int64)
+        k = self.rows["k"].to_numpy(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, int)
+        self.batches = list(zip(k[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist()))
+        # how often the team stands before in the same batch
+        twice = np.repeat(k, 2)
+        order = np.lexsort((np.arange(len(twice)), self.both, twice))
+        new = np.concatenate([[True], (self.both[order][1:] != self.both[order][:-1]) | (twice[order][1:] != twice[order][:-1])]) if len(k) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.rank = np.zeros(len(twice), np.int64)
+        self.rank[order] = np.arange(len(twice)) - np.repeat(first, np.diff(np.append(first, len(twice))))
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows[name].to_numpy()
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.stack([x, y], 1).ravel()
+
+
+class EloRun:
+    """Elo of a group. A team's state: rating, last kickoff, latest availability, last ratings and pending changes."""
+
+    def __init__(self, cfg: Elo, windows: Sequence[int]):
+        self.cfg, self.windows, self.keep = cfg, tuple(windows), max(windows, default=1)
+        momentum = [c for n in self.windows for c in (f"elo_momentum_team1_roll{n}", f"elo_momentum_team2_roll{n}", f"elo_momentum_roll{n}_diff")]
+        self.numbers = ["elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance", *momentum]
+        self.schema = "match_id string, " + ", ".join(f"{c} double" for c in self.numbers) + ", elo_team1_known long, elo_team2_known long"
+
+    def faded(self, rating, years):
+        return self.cfg.initial + (rating - self.cfg.initial) * (1 - self.cfg.regression_per_year) ** years
+
+    def run(self, pdf: pd.DataFrame, states: dict, parts: bool = False) -> tuple[pd.DataFrame, dict]:
+        """Results, and the new state of each team; with ``parts`` (one instant) its changes instead, for ``merged``."""
+        cfg, g, late = self.cfg, Group(pdf), self.cfg.gate == "available"
+        n, width = len(g.teams), self.keep
+        rating, played, known = np.full(n, cfg.initial), np.full(n, NEVER), np.full(n, NEVER)
+        past, count, pending = np.zeros((n, width)), np.zeros(n, np.int64), [[] for _ in range(n)]
+        for i, team in enumerate(g.teams):
+            if team in states:
+                rating[i], played[i], known[i], last, pending[i] = states[team]
+                past[i, : len(last)], count[i] = last, len(last)
+        a = np.repeat(g.column("a").astype(np.int64), 2)
+        weight, margin = g.column("importance").astype(float), g.column("team1_goals").astype(np.int64) - g.column("team2_goals").astype(np.int64)
+        scale = np.where((np.abs(margin) > 1) & cfg.goal_difference, 1 + np.log(np.maximum(np.abs(margin), 1)), 1.0)
+        bonus2 = cfg.host * g.column("host2")
+        gap = bonus2 - np.where(g.column("neutral").astype(bool), 0.0, cfg.home) - cfg.host * g.column("host1")
+        size, actual = cfg.k * weight * scale, 0.5 + 0.5 * np.sign(margin)
+        out = {c: np.empty(len(g.rows)) for c in self.numbers}
+        seen, change, new = np.empty(2 * len(g.rows), np.int64), np.zeros(n), [[] for _ in range(n)]
+        for now, lo, hi in g.batches:
+            both, rows = g.both[2 * lo : 2 * hi], slice(lo, hi)
+            if late:
+                for t in set(both.tolist()):
+                    if pending[t]:
+                        rating[t] += sum(d for at, d in pending[t] if at < now)
+                        pending[t] = [p for p in pending[t] if p[0] >= now]
+            before = played[both]
+            current = self.faded(rating[both], np.where(before == NEVER, 0.0, np.maximum(0.0, (now - np.where(before == NEVER, now, before)) / YEAR_MICROS)))
+            c1, c2 = current[::2], current[1::2]
+            expected = 1 / (1 + 10 ** ((c2 - c1 + gap[rows]) / 400))
+            delta = size[rows] * (actual[rows] - expected)
+            for name, v in zip(self.numbers, (c1, c2, c1 - c2, expected, weight[rows])):
+                out[name][rows] = v
+            for w in self.windows:
+                m = current - np.where(count[both] >= w, past[both, (count[both] - w) % width], cfg.initial)
+                for name, v in zip((f"elo_momentum_team1_roll{w}", f"elo_momentum_team2_roll{w}", f"elo_momentum_roll{w}_diff"), (m[::2], m[1::2], m[::2] - m[1::2])):
+                    out[name][rows] = v
+            seen[2 * lo : 2 * hi] = known[both]
+            moved = paired(delta, -delta)
+            rating[both] = current
+            if late:
+                for t, at, d in zip(both.tolist(), a[2 * lo : 2 * hi].tolist(), moved.tolist()):
+                    new[t].append((at, d)) if parts else pending[t].append((at, d))
             else:
-                change[x] += delta
-                change[y] -= delta
-            row = {
-                "match_id": pdf["match_id"].iat[i], "elo_team1_pre": current[x], "elo_team2_pre": current[y], "elo_diff_pre": current[x] - current[y],
-                "elo_exp_team1": expected, "elo_importance": weight[i], "elo_team1_known": known.get(x), "elo_team2_known": known.get(y),
-            }
-            for n in windows:
-                m1, m2 = (current[t] - (past[t][-n] if len(past.get(t, ())) >= n else cfg.initial) for t in (x, y))
-                row |= {f"elo_momentum_team1_roll{n}": m1, f"elo_momentum_team2_roll{n}": m2, f"elo_momentum_roll{n}_diff": m1 - m2}
-            for c, v in row.items():
-                out[c].append(v)
-        for team, r in current.items():
-            rating[team], played[team] = r + change[team], now
-        for i in range(lo, hi):
-            for team in (t1[i], t2[i]):
-                known[team] = max(int(a[i]), known.get(team, int(a[i])))
-                past.setdefault(team, deque(maxlen=max(windows, default=1))).append(current[team])
-    return pd.DataFrame(out).astype({"elo_team1_known": "Int64", "elo_team2_known": "Int64"}), (rating, played, known, past, pending)
-
-
-def elo_columns(windows: Sequence[int]) -> list[str]:
-    momentum = [c for n in windows for c in (f"elo_momentum_team1_roll{n}", f"elo_momentum_team2_roll{n}", f"elo_momentum_roll{n}_diff")]
-    return ["match_id", "elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance", "elo_team1_known", "elo_team2_known", *momentum]
-
-
-def elo_features(matches: DataFrame, cfg: Elo = Elo(), windows: Sequence[int] = (5, 10), pool: str | None = None, available_col: str = "available_at") -> DataFrame:
-    """``match_id`` with pre-match ratings, expectation and momentum. ``pool`` names the column of independent pools."""
+                change[both] = 0.0
+                np.add.at(change, both, moved)
+                rating[both] = current + change[both]
+            played[both] = now
+            np.maximum.at(known, both, a[2 * lo : 2 * hi])
+            past[both, (count[both] + g.rank[2 * lo : 2 * hi]) % width] = current
+            np.add.at(count, both, 1)
+        table = pd.DataFrame({"match_id": g.column("match_id"), **out})
+        for s in (0, 1):
+            table[f"elo_team{s + 1}_known"] = pd.array(np.where(seen[s::2] == NEVER, 0, seen[s::2]), "Int64")
+            table.loc[seen[s::2] == NEVER, f"elo_team{s + 1}_known"] = pd.NA
+        if parts:
+            own = np.bincount(g.both, minlength=n)
+            return table, {t: (float(change[i]), int(own[i]), int(known[i]), by_time(new[i])) for i, t in enumerate(g.teams)}
+        last = [[float(past[i, j % width]) for j in range(max(0, count[i] - width), count[i])] for i in range(n)]
+        return table, {t: (float(rating[i]), int(played[i]), int(known[i]), last[i], pending[i]) for i, t in enumerate(g.teams)}
+
+    def merged(self, state: tuple | None, now: int, parts: list[tuple]) -> tuple:
+        """The state after one instant, whose changes come in parts."""
+        rating, played, known, past, pending = state or (self.cfg.initial, NEVER, NEVER, [], [])
+        if self.cfg.gate == "available":
+            rating += sum(d for at, d in pending if at < now)
+            pending = [p for p in pending if p[0] >= now]
+        current = self.faded(rating, 0.0 if played == NEVER else max(0.0, (now - played) / YEAR_MICROS))
+        past = [*past, *[current] * min(self.keep, sum(p[1] for p in parts))][-self.keep :]
+        return current + sum(p[0] for p in parts), now, max(known, *(p[2] for p in parts)), past, [*pending, *by_time([x for p in parts for x in p[3]])]
+
+
+def by_time(changes: list[tuple]) -> list[tuple]:
+    """(time, amounts) added up for each time."""
+    total: dict[int, tuple] = {}
+    for at, *d in changes:
+        total[at] = tuple(x + y for x, y in zip(total[at], d)) if at in total else tuple(d)
+    return [(at, *d) for at, d in sorted(total.items())]
+
+
+class StrengthRun:
+    """Online Poisson strengths of a group. A team's state: attack, defence, last kickoff and pending changes."""
+
+    numbers = ["online_attack_team1_pre", "online_defence_team1_pre", "online_attack_team2_pre", "online_defence_team2_pre", "online_global_goals_pre", "online_lambda_team1_pre", "online_lambda_team2_pre"]
+    schema = "match_id string, " + ", ".join(f"{c} double" for c in numbers)
+
+    def __init__(self, cfg: OnlinePoisson):
+        self.cfg = cfg
+
+    def fade(self, years):
+        return 0.5 ** (years / self.cfg.half_life_years)
+
+    def run(self, pdf: pd.DataFrame, states: dict, parts: bool = False) -> tuple[pd.DataFrame, dict]:
+        cfg, g = self.cfg, Group(pdf)
+        n = len(g.teams)
+        attack, defence, played, pending, new = np.zeros(n), np.zeros(n), np.full(n, NEVER), [[] for _ in range(n)], [[] for _ in range(n)]
+        for i, team in enumerate(g.teams):
+            if team in states:
+                attack[i], defence[i], played[i], pending[i] = states[team]
+        a, goals = g.column("a").astype(np.int64).tolist(), np.stack([g.column("team1_goals"), g.column("team2_goals")], 1).astype(float)
+        home, rate = np.where(g.column("neutral").astype(bool), 0.0, cfg.home_log_advantage), g.column("goals_rate").astype(float)
+        out = np.empty((len(g.rows), len(self.numbers)))
+        for now, lo, hi in g.batches:
+            both, rows = g.both[2 * lo : 2 * hi], slice(lo, hi)
+            for t in set(both.tolist()):
+                if pending[t]:
+                    for at, up, down in pending[t]:
+                        if at < now:
+                            attack[t], defence[t] = attack[t] + up, defence[t] + down
+                    pending[t] = [p for p in pending[t] if p[0] >= now]
+            fade = self.fade(np.where(played[both] == NEVER, 0.0, np.maximum(0, now - np.where(played[both] == NEVER, now, played[both])) / YEAR_MICROS))
+            up, down = attack[both] * fade, defence[both] * fade
+            attack[both], defence[both], played[both] = up, down, now
+            lx = np.clip(rate[rows] * np.exp(up[::2] - down[1::2] + home[rows]), 0.15, 5.0)
+            ly = np.clip(rate[rows] * np.exp(up[1::2] - down[::2]), 0.15, 5.0)
+            out[rows] = np.stack([up[::2], down[::2], up[1::2], down[1::2], rate[rows], lx, ly], 1)
+            moved = cfg.learning_rate * np.clip(goals[rows] - np.stack([lx, ly], 1), -cfg.max_residual, cfg.max_residual)
+            kept = new if parts else pending
+            for (x, y), at, (rx, ry) in zip(both.reshape(-1, 2).tolist(), a[rows], moved.tolist()):
+                kept[x].append((at, rx, -ry))
+                kept[y].append((at, ry, -rx))
+        table = pd.DataFrame(out, columns=self.numbers)
+        table.insert(0, "match_id", g.column("match_id"))
+        if parts:
+            return table, {t: by_time(new[i]) for i, t in enumerate(g.teams)}
+        return table, {t: (float(attack[i]), float(defence[i]), int(played[i]), pending[i]) for i, t in enumerate(g.teams)}
+
+    def merged(self, state: tuple | None, now: int, parts: list) -> tuple:
+        attack, defence, played, pending = state or (0.0, 0.0, NEVER, [])
+        for at, up, down in pending:
+            if at < now:
+                attack, defence = attack + up, defence + down
+        fade = self.fade(0.0 if played == NEVER else max(0, now - played) / YEAR_MICROS)
+        return attack * fade, defence * fade, now, [*(p for p in pending if p[0] >= now), *by_time([x for p in parts for x in p])]
+
+
+def slice_of(bounds: list[int]):
+    """The number of a time's slice: slices end at ``bounds`` (inclusive), the last one has no end."""
+    ends = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def find(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, k.to_numpy(np.int64), "left").astype(np.int32))
+
+    return find("k")
+
+
+def components_of(rows: DataFrame) -> DataFrame:
+    """``slice, team, pool``: components within each slice of ``rows``."""
+    node = lambda c: F.concat_ws(":", F.col("slice").cast("string"), F.col(c))
+    pools = team_pools(rows.select(node("team1").alias("team1"), node("team2").alias("team2")))
+    at = F.instr("team", ":")
+    return pools.select(F.substring_index("team", ":", 1).cast("int").alias("slice"), F.expr("substring(team, instr(team, ':') + 1)").alias("team"), "pool")
+
+
+def plan_slices(rows: DataFrame) -> tuple[list[int], DataFrame, dict[int, str]]:
+    """(bounds, rows with ``slice`` and ``bin``, kind of each slice) of ``rows`` (a written table).
+
+    A slice of at most SLICE_ROWS matches is one group ("whole"). In others components make groups of about that size; a slice with a larger component
+    is halved at its middle match until there is none ("components"), or until it is one instant ("instant"), which any split by match serves.
+    """
+    bounds: list[int] = []
+    accepted: set[tuple] = set()
+    while True:
+        placed = rows.withColumn("slice", slice_of(bounds))
+        ends = [None, *bounds, None]
+        spans = [(ends[i], ends[i + 1]) for i in range(len(bounds) + 1)]
+        sizes = {r["slice"]: r for r in placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.percentile_approx("k", 0.5).alias("middle")).collect()}
+        kinds = {s: "whole" if r["n"] <= SLICE_ROWS else "instant" if r["low"] == r["high"] else "components" for s, r in sizes.items()}
+        open_ = [s for s, kind in kinds.items() if kind == "components" and spans[s] not in accepted]
+        if not open_:
+            break
+        part = placed.where(F.col("slice").isin(open_))
+        pools = components_of(part).select("slice", F.col("team").alias("team1"), "pool")
+        largest = {r["slice"]: r["n"] for r in part.join(pools, ["slice", "team1"]).groupBy("slice", "pool").count().groupBy("slice").agg(F.max("count").alias("n")).collect()}
+        if not bounds and largest[0] > SLICE_ROWS:  # no pools that never meet: a first guess at once
+            teams = rows.select(F.explode(F.array("team1", "team2")).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+            slices = max(2, -(-sizes[0]["n"] // max(SLICE_ROWS, teams // TEAMS_A_MATCH)))
+            inner = rows.agg(F.percentile_approx("k", [i / slices for i in range(1, slices)], max(10_000, 4 * slices))).first()[0]
+            bounds = sorted({int(b) if b < sizes[0]["high"] else sizes[0]["high"] - 1 for b in inner})
+            continue
+        for s in open_:
+            if largest[s] <= SLICE_ROWS:
+                accepted.add(spans[s])
+            else:  # both halves hold a kickoff
+                r = sizes[s]
+                bounds = sorted({*bounds, r["middle"] if r["middle"] < r["high"] else r["middle"] - 1})
+    split = [s for s, kind in kinds.items() if kind == "components"]
+    groups = F.create_map(*(F.lit(x) for s, r in sizes.items() for x in (s, max(1, -(-2 * r["n"] // SLICE_ROWS))))) if sizes else None
+    placed = placed.withColumn("bin", F.lit(0))
+    if any(kind != "whole" for kind in kinds.values()):
+        key = F.when(F.col("slice").isin([s for s, kind in kinds.items() if kind == "instant"]), F.col("match_id"))
+        if split:
+            pools = components_of(placed.where(F.col("slice").isin(split))).select("slice", F.col("team").alias("team1"), "pool")
+            placed = placed.join(pools, ["slice", "team1"], "left")
+            key = F.coalesce(key, "pool")
+        placed = placed.withColumn("bin", F.when(key.isNotNull(), F.pmod(F.xxhash64(key), groups[F.col("slice")]).cast("int")).otherwise(0)).select(*rows.columns, "slice", "bin")
+    return bounds, placed, kinds
+
+
+def in_slices(rows: DataFrame, run) -> tuple[DataFrame, DataFrame]:
+    """(results, last states of all teams as ``team, state``) of ``run`` over ``rows``: ``match_id, k, team1, team2`` and what ``run`` needs."""
+    spark = rows.sparkSession
+    path = scratch(spark, "ratings")
+    rows.write.parquet(f"{path}/rows")  # once, whatever the number of slices
+    rows = spark.read.parquet(f"{path}/rows")
+    results = [part.split()[0] for part in run.schema.split(", ")]
+    schema = f"{run.schema}, team string, state binary, to int, to_bin int"
+    if rows.count() <= SLICE_ROWS:
+        out = rows.groupBy().applyInPandas(lambda pdf: with_states(*run.run(pdf, {}), {}), schema)
+        return out.where("team is null").select(*results), out.where("team is not null").select("team", "state")
+
+    _, placed, kinds = plan_slices(rows)
+    placed.write.partitionBy("slice").parquet(f"{path}/placed")
+    placed = spark.read.parquet(f"{path}/placed")
+    # where each team's state goes: its next slice, and its group there
+    own = placed.select("slice", "bin", F.explode(F.array("team1", "team2")).alias("team")).groupBy("slice", "team").agg(F.min("bin").alias("bin"))
+    ahead = F.lead(F.struct("slice", "bin")).over(W.partitionBy("team").orderBy("slice"))
+    moves = own.withColumn("next", ahead).select("slice", "team", F.col("next.slice").alias("to"), F.col("next.bin").alias("to_bin"))
+    moves.where("to is not null").write.partitionBy("slice").parquet(f"{path}/moves")
+    moves = spark.read.schema("team string, to int, to_bin int, slice int").parquet(f"{path}/moves")
+    fed = {r["to"] for r in moves.select("to").distinct().collect()}
+
+    def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        table, states = run.run(left, opened(right))
+        return with_states(table, states, {t: (to, b) for t, to, b in zip(left["team1"], left["to1"], left["bin1"])} | {t: (to, b) for t, to, b in zip(left["team2"], left["to2"], left["bin2"])})
+
+    for s in sorted(kinds):
+        part = placed.where(F.col("slice") == s).drop("slice")
+        to = moves.where(F.col("slice") == s).drop("slice").checkpoint()
+        state = spark.read.schema(schema.replace(", to int", "")).parquet(f"{path}/run/to={s}") if s in fed else spark.createDataFrame([], schema)
+        state = state.select(F.col("to_bin").alias("bin"), "team", "state")
+        if kinds[s] == "instant":
+            out = one_instant(part, state, to, run, schema, results)
+        else:
+            for side in ("1", "2"):
+                part = part.join(to.toDF(f"team{side}", f"to{side}", f"bin{side}"), f"team{side}", "left")
+            out = part.groupBy("bin").cogroup(state.groupBy("bin")).applyInPandas(step, schema)
+        out.write.mode("append").partitionBy("to").parquet(f"{path}/run")
+    found = spark.read.schema(schema).parquet(f"{path}/run")
+    return found.where(F.col("to") == RESULTS).select(*results), found.where(F.col("to") == LAST_STATES).select("team", "state")
+
+
+def opened(states: pd.DataFrame) -> dict:
+    return {t: pickle.loads(b) for t, b in zip(states["team"], states["state"])}
+
+
+def with_states(table: pd.DataFrame, states: dict, to: dict) -> pd.DataFrame:
+    """Results and states as rows of one table; a state without a next slice is a last one."""
+    table["to"] = RESULTS
+    where = [to.get(t, (None, None)) for t in states]
+    lasts = [LAST_STATES if pd.isna(x) else int(x) for x, _ in where]
+    bins = pd.array([None if pd.isna(b) else int(b) for _, b in where], "Int32")
+    more = pd.DataFrame({"team": list(states), "state": [pickle.dumps(v) for v in states.values()], "to": lasts, "to_bin": bins})
+    both = pd.concat([table, more], ignore_index=True)
+    return both.assign(team=both["team"].astype(object).where(both["team"].notna(), None), state=both["state"].astype(object).where(both["state"].notna(), None))
+
+
+def one_instant(part: DataFrame, state: DataFrame, to: DataFrame, run, schema: str, results: list[str]) -> DataFrame:
+    """A slice of one kickoff: groups of any matches see the same states, and what they change is merged by team."""
+    spark = part.sparkSession
+    state = state.select("team", "state")
+    asked = part.select(F.col("bin").alias("of"), F.explode(F.array("team1", "team2")).alias("team")).distinct().join(state, "team")
+
+    def see(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return with_states(*run.run(left, opened(right), parts=True), {})
+
+    path = scratch(spark, "instant")
+    part.groupBy("bin").cogroup(asked.groupBy("of")).applyInPandas(see, schema).write.partitionBy("to").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    now = part.select("k").first()["k"]
+    bins = part.agg(F.max("bin")).first()[0] + 1
+    spread = F.pmod(F.xxhash64("team"), F.lit(bins))
+    parts = out.where(F.col("to") == LAST_STATES).select("team", "state").join(to, "team", "left").withColumn("at", spread)
+
+    def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        before, found, moves = opened(right), {}, {}
+        for t, b, x, y in zip(left["team"], left["state"], left["to"], left["to_bin"]):
+            found.setdefault(t, []).append(pickle.loads(b))
+            moves[t] = (x, y)
+        empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in results})
+        return with_states(empty, {t: run.merged(before.get(t), now, p) for t, p in found.items()}, moves)
+
+    merged = parts.groupBy("at").cogroup(state.withColumn("near", spread).groupBy("near")).applyInPandas(merge, schema)
+    return out.where(F.col("to") == RESULTS).unionByName(merged)
+
+
+def rated_rows(matches: DataFrame, cfg: Elo, pool: str | None, available_col: str, extra: Sequence[str] = ()) -> DataFrame:
+    """The columns that Elo needs, and ``extra`` ones."""
     hosts = [(F.col("host_team") == F.col(f"team{s}")).cast("int") if "host_team" in matches.columns else F.lit(0) for s in (1, 2)]
-    rows = matches.select(
-        (F.col(pool) if pool else F.lit(0)).alias("pool"), "match_id", micros("kickoff_utc").alias("k"), micros(available_col).alias("a"), "team1", "team2", "team1_goals", "team2_goals",
-        "neutral", importance("tournament", cfg.weights).alias("importance"), *(F.coalesce(h, F.lit(0)).alias(f"host{s}") for s, h in zip((1, 2), hosts)),
+    return matches.select(
+        "match_id", micros("kickoff_utc").alias("k"), micros(available_col).alias("a"), *named(pool), "team1_goals", "team2_goals",
+        "neutral", importance("tournament", cfg.weights).alias("importance"), *(F.coalesce(h, F.lit(0)).alias(f"host{s}") for s, h in zip((1, 2), hosts)), *extra,
     )
-    kinds = {"match_id": "string", "elo_team1_known": "long", "elo_team2_known": "long"}
-    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in elo_columns(windows))
-    out = in_slices(rows, lambda pdf, state: elo_of_pool(pdf, cfg, windows, state), schema)
-    return out.withColumns({f"elo_team{s}_available_at": F.timestamp_micros(f"elo_team{s}_known") for s in (1, 2)}).drop("elo_team1_known", "elo_team2_known")
 
 
-STRENGTHS = ["match_id", "online_attack_team1_pre", "online_defence_team1_pre", "online_attack_team2_pre", "online_defence_team2_pre", "online_global_goals_pre", "online_lambda_team1_pre", "online_lambda_team2_pre"]
-
-
-def strengths_of_pool(pdf: pd.DataFrame, cfg: OnlinePoisson, state: tuple | None = None) -> tuple[pd.DataFrame, tuple]:
-    pdf = pdf.sort_values(["k", "match_id"], ignore_index=True)
-    attack: dict[str, float]
-    defence: dict[str, float]
-    seen: dict[str, int]
-    pending: list[tuple[int, str, float, float]]
-    attack, defence, seen, pending = state or ({}, {}, {}, [])
-    out: list[tuple] = []
-    rows = list(pdf[["match_id", "team1", "team2", "team1_goals", "team2_goals", "neutral", "a", "goals_rate"]].itertuples(index=False, name=None))
-    for now, lo, hi in batches(pdf):
-        for _, team, up, down in (p for p in pending if p[0] < now):
-            attack[team] = attack.get(team, 0.0) + up
-            defence[team] = defence.get(team, 0.0) + down
-        pending = [p for p in pending if p[0] >= now]
-        for team in {r[1] for r in rows[lo:hi]} | {r[2] for r in rows[lo:hi]}:
-            fade = 0.5 ** (max(0, now - seen.get(team, now)) / YEAR_MICROS / cfg.half_life_years)
-            attack[team], defence[team], seen[team] = attack.get(team, 0.0) * fade, defence.get(team, 0.0) * fade, now
-        for ident, x, y, gx, gy, neutral, known, rate in rows[lo:hi]:
-            home = 0.0 if neutral else cfg.home_log_advantage
-            lx = min(max(rate * np.exp(attack[x] - defence[y] + home), 0.15), 5.0)
-            ly = min(max(rate * np.exp(attack[y] - defence[x]), 0.15), 5.0)
-            rx, ry = (cfg.learning_rate * min(max(g - rate_of, -cfg.max_residual), cfg.max_residual) for g, rate_of in ((gx, lx), (gy, ly)))
-            out.append((ident, attack[x], defence[x], attack[y], defence[y], rate, lx, ly))
-            pending += [(known, x, rx, -ry), (known, y, ry, -rx)]
-    return pd.DataFrame(out, columns=STRENGTHS), (attack, defence, seen, pending)
+def named(pool: str | None) -> list:
+    """Teams; those of different pools are not the same."""
+    return [(F.concat_ws("\x1f", F.col(pool).cast("string"), F.col(t)) if pool else F.col(t)).alias(t) for t in ("team1", "team2")]
+
+
+def elo_features(matches: DataFrame, cfg: Elo = Elo(), windows: Sequence[int] = (5, 10), pool: str | None = None, available_col: str = "available_at") -> DataFrame:
+    """``match_id`` with pre-match ratings, expectation and momentum. With ``pool`` a team has a rating in each pool of its own."""
+    out, _ = in_slices(rated_rows(matches, cfg, pool, available_col), EloRun(cfg, windows))
+    return out.withColumns({f"elo_team{s}_available_at": F.timestamp_micros(f"elo_team{s}_known") for s in (1, 2)}).drop("elo_team1_known", "elo_team2_known")
 
 
 def online_strengths(matches: DataFrame, cfg: OnlinePoisson = OnlinePoisson(), pool: str | None = None, available_col: str = "available_at") -> DataFrame:
     """``match_id`` with attack and defence of both teams and the expected goals they imply.
 
-    The global scoring rate couples all pools; it is a prefix aggregate over all
+    The global scoring rate couples all teams; it is a prefix aggregate over all
     of them, computed first and joined in.
     """
     rate = global_rate(matches, available_col, 2 * cfg.initial_goals * cfg.prior_matches, 2 * cfg.prior_matches)
-    rows = matches.select(
-        (F.col(pool) if pool else F.lit(0)).alias("pool"), "match_id", micros("kickoff_utc").alias("k"), micros(available_col).alias("a"), "team1", "team2", "team1_goals", "team2_goals", "neutral"
-    ).join(rate, "match_id")
-    schema = ", ".join(f"{c} {'string' if c == 'match_id' else 'double'}" for c in STRENGTHS)
-    out = in_slices(rows, lambda pdf, state: strengths_of_pool(pdf, cfg, state), schema)
+    rows = matches.select("match_id", micros("kickoff_utc").alias("k"), micros(available_col).alias("a"), *named(pool), "team1_goals", "team2_goals", "neutral").join(rate, "match_id")
+    out, _ = in_slices(rows, StrengthRun(cfg))
     a, b = F.col("online_lambda_team1_pre"), F.col("online_lambda_team2_pre")
     return out.select("*", (a - b).alias("online_lambda_diff_pre"), (a + b).alias("online_lambda_total_pre"), F.log(a / b).alias("online_log_lambda_ratio_pre"))
+
+
+def slice_groups(matches: DataFrame, available_col: str = "available_at") -> DataFrame:
+    """``slice, kind, matches, groups, largest_group``: how the ratings of ``matches`` are cut up; no group is sent whole beyond ``largest_group``."""
+    spark = matches.sparkSession
+    path = scratch(spark, "slices")
+    rated_rows(matches, Elo(), None, available_col).write.parquet(path)
+    _, placed, kinds = plan_slices(spark.read.parquet(path))
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("slice")] if kinds else F.lit(None).cast("string")
+    sizes = placed.groupBy("slice", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("slice").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest_group")).withColumn("kind", kind)
