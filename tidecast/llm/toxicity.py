@@ -125,7 +125,8 @@ def stored(rows: DataFrame) -> DataFrame:
 def keyed(rows: DataFrame, names: list[str]) -> str:
     """The folder to which ``key`` and counts are written; tasks read it, so nothing passes through the driver."""
     path = f"{shared_root(rows.sparkSession)}/toxicity-{uuid.uuid4().hex}"
-    rows.select("key", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in names)).write.parquet(path)
+    small = [F.when(F.col(c) < 2**31, F.col(c)).otherwise(F.raise_error(F.lit(f"a count of {c} is beyond an integer"))).cast("int").alias(c) for c in names]
+    rows.select("key", *small).write.parquet(path)
     return path
 
 
@@ -136,12 +137,21 @@ class Counts:
         from pyarrow import fs, parquet
 
         system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
-        parts = [parquet.read_table(f, columns=["key", *names], filesystem=system, use_threads=False) for f in files]
-        keys = np.concatenate([np.zeros(0, np.int64), *(t["key"].to_numpy() for t in parts)])
+        files = [parquet.ParquetFile(system.open_input_file(f.path)) for f in sorted(system.get_file_info(fs.FileSelector(place)), key=lambda f: f.path) if f.path.endswith(".parquet")]
+        n = sum(f.metadata.num_rows for f in files)
+        keys, columns, at = np.empty(n, np.int64), {c: np.empty(n, np.int32) for c in names}, 0
+        for f in files:  # a part at a time into arrays of the right size: no second copy of the table
+            for batch in f.iter_batches(1 << 18, columns=["key", *names], use_threads=False):
+                for out, c in ((keys, "key"), *((columns[c], c) for c in names)):
+                    out[at : at + batch.num_rows] = batch.column(batch.schema.get_field_index(c)).to_numpy()
+                at += batch.num_rows
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.columns = {c: np.concatenate([np.zeros(0, np.int32), *(t[c].to_numpy() for t in parts)])[order] for c in names}
+        del keys
+        self.columns = {}
+        for c in names:
+            self.columns[c] = columns.pop(c)[order]
+        pa.default_memory_pool().release_unused()
 
     def of(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         """Each column's counts of ``keys`` (hashes)."""
@@ -178,7 +188,9 @@ class Model:
         self.contexts = Counts(paths["contexts"], [*COUNTS, *(f"k_{c}" for c in (COUNTS if halves else "to"))])
         if not halves:
             for side in (self.grams.columns, self.contexts.columns):
-                side |= {k: side.pop(f"{k}0") + side.pop(f"{k}1") for k in "to"}
+                for k in "to":
+                    side[k] = side.pop(f"{k}0")
+                    side[k] += side.pop(f"{k}1")
 
     _held: tuple = (None, None)
 
