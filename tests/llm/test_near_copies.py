@@ -72,3 +72,11 @@ def test_long_texts(spark):
     docs = [(1, " ".join(words)), (2, " ".join(words[: 55_000])), (3, "x " * 100_000), (4, "x x x x x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == [1, 3]
+
+
+def test_rows_without_an_id_link_others(spark):
+    """Null ids as the bridge of two documents, as the only members, and repeated."""
+    rows = [(7, 0), (None, 3), (None, 3), (9, 15), (None, 1023 << 40), (None, 1023 << 40 | 1), (20, 1023 << 50)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    key = lambda r: (r[0] is not None, r)
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(7, 0, 7), (None, 3, 7), (None, 3, 7), (9, 15, 7), (None, 1023 << 40, None), (None, 1023 << 40 | 1, None), (20, 1023 << 50, 20)], key=str)

@@ -245,3 +245,23 @@ def test_packing_limits(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, prompt int")
     rows = packing.pack(df, prompt_col="prompt", max_tokens=256, max_segments=6, max_loss_tokens=180).collect()
     check_pieces(rows, 256, 6, 180)
+
+
+def test_web_tokens_in_long_runs_take_linear_time():
+    """Ten million characters of token starts without a token, and the spans of plain matching on smaller ones."""
+    import time
+
+    automaton, rng = secret_scan.keyword_automaton(), random.Random(6)
+    began = time.time()
+    assert secret_scan.find_secrets("eyJ" * 3_300_000 + ".", automaton) == []
+    assert time.time() - began < 60
+    head = "eyJhbGciOiJub25lIn0"
+    for _ in range(300):
+        text = "".join(rng.choice([head, "eyJ", "eyJx", ".", ".", " ", "a-_", head + ".a."]) for _ in range(rng.randint(0, 14)))
+        want, end = [], 0
+        for m in re.finditer("(?=eyJ)", text):
+            if m.start() >= end and (t := secret_scan.JWT.match(text, m.start())):
+                end = t.end()
+                if secret_scan.header_holds(t):
+                    want.append((t.start(), t.end(), "jwt"))
+        assert [s for s in secret_scan.find_secrets(text, automaton) if s[2] == "jwt"] == want

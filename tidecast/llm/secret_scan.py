@@ -23,6 +23,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CHECKED = re.compile(r"(?:gh[opsur]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
+PART = re.compile(r"[A-Za-z0-9_-]+")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 KEYWORDS = {
     "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
@@ -82,17 +83,19 @@ def find_secrets(text: str, automaton) -> list[tuple[int, int, str]]:
     Matches of one kind do not overlap: the leftmost stands, also where it is
     then dropped for its length or checksum.
     """
-    found, ends = [], dict.fromkeys(KINDS, 0)
+    found, ends, dead = [], dict.fromkeys(KINDS, 0), 0
     hits = sorted((end + 1 - n, KINDS.index(kind)) for end, (n, kind) in automaton.iter(lower(text)))
     for start, k in hits:
         kind = KINDS[k]
-        if start < ends[kind]:
+        if start < ends[kind] or kind == "jwt" and start < dead:
             continue
         pattern, holds = ANCHORED[kind]
         if m := pattern.match(text, start):
             ends[kind] = m.end()
             if holds(m):
                 found.append((start, m.end(), kind))
+        elif kind == "jwt" and (part := PART.match(text, start)):
+            dead = part.end()  # what follows the first part is missing for all hits in it
     # runs of hex digits have no keyword; a pattern of that length alone is the prefilter
     found += [(m.start(), m.end(), "hex") for m in re.finditer(r"[0-9a-f]{32,}", text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
@@ -109,7 +112,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per document: counts of the base kinds and the places of all secrets.
 
     Places are code points, the end exclusive. Null and empty texts have no
-    secrets. Rows are handled one by one: repeated rows and null ids stay; other
+    secrets; long texts are searched whole, in linear time. Rows are handled one by one: repeated rows and null ids stay; other
     columns are ignored.
     """
 

@@ -6,7 +6,7 @@ fingerprint per node: the far side holds everything beyond the radius, the near
 everything up to the radius plus the link distance. By the triangle bound each linked
 pair meets in at least one leaf, so leaves can be searched alone, whatever the
 sample was. A leaf answers with one edge per linked fingerprint (to the smallest
-document it reaches there), never with its pairs; the edges' connected components are
+one it reaches there), never with its pairs; the edges' connected components are
 the result.
 """
 
@@ -128,7 +128,7 @@ class Tree:
 
 
 def links(fp: np.ndarray, rep: np.ndarray, reach: int, rng: np.random.Generator | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges (document, smallest document linked to it here) among distinct fingerprints.
+    """Edges (node, smallest node linked to it here) among distinct fingerprints; ``rep`` has the node of each.
 
     Larger sets are divided by further vantage points; the rest is compared in
     blocks of rows, and labels spread until they settle.
@@ -170,7 +170,7 @@ def near_duplicates(fps: DataFrame, *, reach: int = 2) -> DataFrame:
     often as they go in; an empty table gives an empty result.
     """
     spark = fps.sparkSession
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = distinct.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / LEAF_ROWS))))))
     sample = bounded_sample(distinct, "fp", max(SAMPLE_ROWS, SAMPLE_PER_LEAF << depth), n).select("fp").toPandas().sort_values("fp")
@@ -180,9 +180,9 @@ def near_duplicates(fps: DataFrame, *, reach: int = 2) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 rows, leaf = tree.leaves(batch.column(0).to_numpy().view(np.uint64))
-                yield pa.record_batch([pa.array(leaf), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["leaf", "fp", "rep"])
+                yield pa.record_batch([pa.array(leaf), batch.column(0).take(pa.array(rows))], names=["leaf", "fp"])
 
-    placed = cut(distinct.mapInArrow(place, "leaf long, fp long, rep long"))
+    placed = cut(distinct.select("fp").mapInArrow(place, "leaf long, fp long"))
     # one row per leaf, at most 2 ** MAX_DEPTH: leaves too large for one task are
     # searched as pairs of blocks
     blocks = [
@@ -194,18 +194,20 @@ def near_duplicates(fps: DataFrame, *, reach: int = 2) -> DataFrame:
         placed = placed.join(F.broadcast(sizes), "leaf", "left").withColumn("k", F.coalesce("k", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("k"))
         placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        placed = placed.select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "rep")
+        placed = placed.select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     else:
-        placed = placed.select("leaf", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp", "rep")
+        placed = placed.select("leaf", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(links(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["rep"].to_numpy(np.int64), reach))
+        fp = pdf["fp"].to_numpy(np.int64)
+        found = list(links(fp.view(np.uint64), fp, reach))
         u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
         return pd.DataFrame({"u": u, "v": v})
 
     edges = placed.groupBy("leaf", "a", "b").applyInPandas(search, "u long, v long")
-    comps = components(edges)
-    groups = distinct.join(comps, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the nodes, so rows without an id link others too
+    comps = distinct.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("comp"))
+    groups = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("fp", "component_id")
     return fps.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
