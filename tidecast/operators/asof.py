@@ -57,7 +57,7 @@ def prefix(
     carried = all_totals.select(*k_cols, "__b", *(fold(n).over(before).alias(f"__c_{n}") for n in measures))
     out = near.join(carried, [*k_cols, "__b"], "left")
     merged = [
-        (F.coalesce(f"__c_{n}", F.lit(0)) + F.coalesce(f"__n_{n}", F.lit(0)) if n in sums else F.greatest(f"__c_{n}", f"__n_{n}") if not kind[f"__m_{n}"].startswith("struct") else F.coalesce(f"__n_{n}", f"__c_{n}")).alias(n)
+        (F.coalesce(f"__c_{n}", F.lit(0)) + F.coalesce(f"__n_{n}", F.lit(0)) if n in sums else F.greatest(f"__c_{n}", f"__n_{n}")).alias(n)
         for n in measures
     ]
     return out.select("__row.*", *merged)

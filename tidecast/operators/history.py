@@ -1,27 +1,25 @@
 """History features: what each side had done, by results known before kickoff.
 
 A row sees a result if its kickoff and its availability both lie strictly before the
-row's kickoff; matches at one kickoff see the same history. Order-free aggregates
-(counts, sums, decayed means, latest times) are prefix aggregates over the time at
-which a result counts, the later of kickoff and availability. Only "the last N" needs
-order by kickoff among what is available; its frame is bounded by N plus the most
-results that were ever pending or simultaneous, which one aggregate finds.
+row's kickoff; matches at one kickoff see the same history. Counts, sums and latest times
+are prefix aggregates over the time at which a result counts, the later of kickoff and availability. What
+depends on the order of kickoffs among results known in another order (the last N, streaks), and decay, are
+small states swept through that time: no list of results stands in a row, and no key is held as a whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_MICROS, micros
 from .asof import prefix, widen
+from .sweep import EVENT, QUERY, All, sweep
 
 STATS = ["goals_for", "goals_against", "goal_diff", "win", "draw", "opponent_adjusted_goal_diff", "clean_sheet", "failed_to_score"]
-#: Decay is measured from here: 2000-01-01 in microseconds. Spans of up to 1000 half-lives fit a double.
-ORIGIN = 946_684_800_000_000
 
 
 def team_rows(matches: DataFrame, available_col: str = "available_at", elo: tuple[str, str] | None = None) -> DataFrame:
@@ -60,15 +58,142 @@ def prior_counts(matches: DataFrame, available_col: str = "available_at") -> Dat
     )
 
 
-def decayed_means(rows: DataFrame, stats: Sequence[str] = STATS, half_life_days: float = 365.0) -> DataFrame:
-    """``match_id, side, {stat}_ewm``: means weighted by 0.5 ** (age / half-life).
+class Known:
+    """Places of a history row in a sweep: time, tag, match, side, kickoff, availability, statistics from 6 on."""
+
+    T, TAG, MATCH, SIDE, K, A, STATS = range(7)
+
+
+class Decayed:
+    """Sums weighted by 0.5 ** (age / half-life), seen from the latest kickoff among them, so that nothing overflows or vanishes."""
+
+    def __init__(self, places: Sequence[int], half_life_days: float):
+        self.places, self.scale = places, half_life_days * DAY_MICROS
+        self.at, self.weight, self.sums = None, 0.0, [0.0] * len(places)
+
+    def add(self, row: tuple) -> None:
+        self.take(row[Known.K], 1.0, [row[p] for p in self.places])
+
+    def take(self, k: int, weight: float, sums: Sequence[float]) -> None:
+        if self.at is None or k > self.at:
+            old = 0.0 if self.at is None else 0.5 ** ((k - self.at) / self.scale)
+            self.at, self.weight, self.sums = k, weight + old * self.weight, [x + old * y for x, y in zip(sums, self.sums)]
+        else:
+            w = 0.5 ** ((self.at - k) / self.scale)
+            self.weight, self.sums = self.weight + w * weight, [y + w * x for x, y in zip(sums, self.sums)]
+
+    def answer(self, row: tuple) -> list:
+        return [s / self.weight if self.at is not None else None for s in self.sums]
+
+    def merge(self, earlier: Decayed) -> None:
+        if earlier.at is not None:
+            self.take(earlier.at, earlier.weight, earlier.sums)
+
+
+class Last:
+    """The last results by kickoff among those known, as many as the largest window."""
 
-    The age cancels between numerator and denominator, so both are prefix sums.
+    def __init__(self, places: Sequence[int], windows: Sequence[int]):
+        self.places, self.windows, self.most = places, windows, max(windows)
+        self.items: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        self.put((row[Known.K], row[Known.MATCH], row[Known.SIDE], *(row[p] for p in self.places)))
+
+    def put(self, item: tuple) -> None:
+        if len(self.items) == self.most:
+            if item < self.items[0]:
+                return
+            del self.items[0]
+        insort(self.items, item)
+
+    def answer(self, row: tuple) -> list:
+        if not self.items:
+            return [None] * (len(self.windows) * len(self.places))
+        columns = list(zip(*self.items))[3:]
+        return [sum(c[-n:]) / min(n, len(c)) for n in self.windows for c in columns]
+
+    def merge(self, earlier: Last) -> None:
+        for item in earlier.items:
+            self.put(item)
+
+
+class Streaks:
+    """Known results after the last known one that breaks a streak, for each of its three kinds.
+
+    A result that becomes known is never older than the largest ``delay``, so results older than that are only counted: a break yet to come
+    ends them all. Those from before the state's first event stay in the list, as an earlier state may know a later break.
     """
-    weight = F.pow(F.lit(2.0), (F.col("k") - F.lit(ORIGIN)) / F.lit(half_life_days * DAY_MICROS))
-    sums = {"__w": weight} | {f"__{s}": weight * F.col(s) for s in stats}
-    found = prefix(rows.select("match_id", "side", "team", "k"), rows, ["team"], F.col("k"), known_from(), sums=sums)
-    return found.select("match_id", "side", *(F.when(F.col("__w") > 0, F.col(f"__{s}") / F.col("__w")).alias(f"{s}_ewm") for s in stats))
+
+    def __init__(self, win: int, goal_diff: int, delay: int):
+        self.places, self.delay, self.first = (win, goal_diff), delay, None
+        #: the last break, the number of counted results after it, and the listed ones in order
+        self.kinds: list[list] = [[None, 0, []] for _ in range(3)]
+
+    def add(self, row: tuple) -> None:
+        order, win, gap = (row[Known.K], row[Known.MATCH], row[Known.SIDE]), row[self.places[0]], row[self.places[1]]
+        self.first = row[Known.T] if self.first is None else self.first
+        for kind, breaks in zip(self.kinds, (win != 1.0, gap >= 0, gap < 0)):
+            last, _, recent = kind
+            if last is not None and order < last:
+                continue
+            if breaks:
+                kind[:] = [order, 0, recent[bisect(recent, order) :]]
+                continue
+            insort(recent, order)
+            if len(recent) % 64 == 0:
+                low, high = bisect(recent, (self.first,)), bisect(recent, (row[Known.T] - self.delay,))
+                if low < high:
+                    kind[1:] = [kind[1] + high - low, recent[:low] + recent[high:]]
+
+    def answer(self, row: tuple) -> list:
+        return [float(n + len(recent)) for _, n, recent in self.kinds]
+
+    def merge(self, earlier: Streaks) -> None:
+        self.first = earlier.first if earlier.first is not None else self.first
+        for kind, (last, n, recent) in zip(self.kinds, earlier.kinds):
+            if kind[0] is None or last is not None and last > kind[0]:
+                kind[:] = [last, kind[1] + n, sorted([*recent, *(x for x in kind[2] if last is None or x > last)])]
+            else:  # what the earlier one has counted is older than this one's break
+                kind[2] = sorted([*(x for x in recent if x > kind[0]), *kind[2]])
+
+
+class Recent:
+    """The latest kickoff and the latest availability among the known results."""
+
+    def __init__(self) -> None:
+        self.k = self.a = None
+
+    def add(self, row: tuple) -> None:
+        self.k = row[Known.K] if self.k is None else max(self.k, row[Known.K])
+        if row[Known.A] is not None:
+            self.a = row[Known.A] if self.a is None else max(self.a, row[Known.A])
+
+    def answer(self, row: tuple) -> list:
+        return [None if self.k is None or row[Known.K] is None else (row[Known.K] - self.k) / DAY_MICROS, self.a]
+
+    def merge(self, earlier: Recent) -> None:
+        self.k = max((x for x in (self.k, earlier.k) if x is not None), default=None)
+        self.a = max((x for x in (self.a, earlier.a) if x is not None), default=None)
+
+
+def swept(rows: DataFrame, stats: Sequence[str], start, out: str) -> DataFrame:
+    """``match_id, side`` and ``out``: a sweep by team, each row once as a query at kickoff and once as an event when known."""
+    ask = F.struct(F.col("k").alias("t"), F.lit(QUERY).alias("tag"))
+    tell = F.struct(known_from().alias("t"), F.lit(EVENT).alias("tag"))
+    both = rows.select("team", "match_id", "side", "k", "a", *stats, F.inline(F.array(ask, tell)))
+    both = both.select("team", "t", "tag", "match_id", "side", "k", "a", *(F.when(F.col("tag") == EVENT, F.col(c)).alias(c) for c in stats))
+    return sweep(both, ["team"], ["match_id", "side"], ["k", "a", *stats], start, out)
+
+
+def doubles(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` double" for n in names)
+
+
+def decayed_means(rows: DataFrame, stats: Sequence[str] = STATS, half_life_days: float = 365.0) -> DataFrame:
+    """``match_id, side, {stat}_ewm``: means weighted by 0.5 ** (age / half-life), at any half-life and age."""
+    places = range(Known.STATS, Known.STATS + len(stats))
+    return swept(rows, stats, lambda: Decayed(places, half_life_days), doubles([f"{s}_ewm" for s in stats]))
 
 
 def recency(rows: DataFrame) -> DataFrame:
@@ -77,65 +202,38 @@ def recency(rows: DataFrame) -> DataFrame:
     return found.select("match_id", "side", ((F.col("k") - F.col("__k")) / F.lit(float(DAY_MICROS))).alias("days_rest"), F.timestamp_micros("__a").alias("history_available_at"))
 
 
-def frame_bound(rows: DataFrame) -> int:
-    """The most results of one team that a kickoff can find pending or simultaneous."""
-    queries = rows.select("team", "k").distinct()
-    started = prefix(queries, rows, ["team"], F.col("k"), F.col("k"), sums={"started": F.lit(1)})
-    both = prefix(started, rows, ["team"], F.col("k"), known_from(), sums={"known": F.lit(1)})
-    pending = both.agg(F.max(F.col("started") - F.col("known"))).first()[0] or 0
-    batch = rows.groupBy("team", "k").count().agg(F.max("count")).first()[0] or 0
-    return int(pending + batch)
+def last_means(rows: DataFrame, windows: Sequence[int], stats: Sequence[str] = STATS) -> DataFrame:
+    """``match_id, side, {stat}_roll{n}``: means over the last n known results by kickoff (null if none)."""
+    places = range(Known.STATS, Known.STATS + len(stats))
+    return swept(rows, stats, lambda: Last(places, windows), doubles([f"{s}_roll{n}" for n in windows for s in stats]))
 
 
-def last_means(rows: DataFrame, windows: Sequence[int], stats: Sequence[str] = STATS, slack: int | None = None) -> DataFrame:
-    """``match_id, side, {stat}_roll{n}``: means over the last n known results by kickoff (null if none)."""
-    slack = frame_bound(rows) if slack is None else slack
-    order = W.partitionBy("team").orderBy("k", "match_id", "side")
-    frame = order.rowsBetween(-(max(windows) + slack), -1)
-    item = F.struct("k", "match_id", "a", *stats)
-    listed = rows.select("match_id", "side", "k", F.collect_list(item).over(frame).alias("h"))
-    known = F.filter("h", lambda x: (x["k"] < F.col("k")) & (F.coalesce(x["a"], x["k"]) < F.col("k")))
-    # the frame is in order of kickoff already
-    kept = listed.select("match_id", "side", known.alias("h"))
+def longest_delay(rows: DataFrame) -> int:
+    """The longest time from kickoff until a result was known, in microseconds."""
+    return rows.agg(F.max(known_from() - F.col("k"))).first()[0] or 0
 
-    def mean(stat: str, n: int) -> Column:
-        last = F.slice("h", F.greatest(F.lit(1), F.size("h") - n + 1), F.lit(n))
-        return F.when(F.size("h") > 0, F.aggregate(last, F.lit(0.0), lambda acc, x: acc + x[stat]) / F.size(last))
 
-    return kept.select("match_id", "side", *(mean(s, n).alias(f"{s}_roll{n}") for n in windows for s in stats))
+STREAKS = ["win_streak", "loss_streak", "unbeaten_streak"]
 
 
 def streaks(rows: DataFrame) -> DataFrame:
-    """``match_id, side`` and the win, loss and unbeaten streaks that end at the latest known result.
+    """``match_id, side`` and the win, loss and unbeaten streaks that end at the latest known result."""
+    delay = longest_delay(rows)
+    return swept(rows, ["win", "goal_diff"], lambda: Streaks(Known.STATS, Known.STATS + 1, delay), doubles(STREAKS))
 
-    A streak is the number of known results after the last known one that breaks
-    it: those started after it, less those among them that are still pending.
-    Pending results come from an interval join by team and month.
-    """
-    order = W.partitionBy("team").orderBy("k", "match_id", "side")
-    events = rows.withColumn("seq", F.row_number().over(order))
-    breaks = {"win_streak": F.col("win") != 1.0, "loss_streak": F.col("goal_diff") >= 0, "unbeaten_streak": F.col("goal_diff") < 0}
-    asked = rows.select("match_id", "side", "team", "k")
-    started = prefix(asked, events, ["team"], F.col("k"), F.col("k"), maxima={"started": F.col("seq")})
-    broken = prefix(started, events, ["team"], F.col("k"), known_from(), maxima={n: F.when(c, F.col("seq")) for n, c in breaks.items()})
-    month = lambda c: (F.floor(c / F.lit(30 * DAY_MICROS))).cast("long")
-    late = events.where(known_from() > F.col("k")).select("team", "seq", F.col("k").alias("k0"), known_from().alias("k1"), F.explode(F.sequence(month(F.col("k")), month(known_from()))).alias("mo"))
-    pairs = asked.withColumn("mo", month(F.col("k"))).join(late, ["team", "mo"]).where("k0 < k and k <= k1")
-    pending = pairs.groupBy("match_id", "side").agg(F.collect_list("seq").alias("pending"))
-    out = broken.join(pending, ["match_id", "side"], "left")
-    none = F.array().cast("array<int>")
-
-    def length(name: str) -> Column:
-        last = F.coalesce(F.col(name), F.lit(0))
-        return F.coalesce(F.col("started"), F.lit(0)) - last - F.size(F.filter(F.coalesce(F.col("pending"), none), lambda seq: seq > last))
-
-    return out.select("match_id", "side", *(length(n).cast("double").alias(n) for n in breaks))
+
+def side_history(rows: DataFrame, windows: Sequence[int], stats: Sequence[str] = STATS, half_life_days: float = 365.0) -> DataFrame:
+    """``match_id, side`` with rest, availability, decayed means, last-n means and streaks: all in one sweep."""
+    delay, places = longest_delay(rows), range(Known.STATS, Known.STATS + len(stats))
+    win, gap = Known.STATS + stats.index("win"), Known.STATS + stats.index("goal_diff")
+    names = doubles([*(f"{s}_ewm" for s in stats), *(f"{s}_roll{n}" for n in windows for s in stats), *STREAKS])
+    out = swept(rows, stats, lambda: All(Recent(), Decayed(places, half_life_days), Last(places, windows), Streaks(win, gap, delay)), f"days_rest double, __a long, {names}")
+    return out.withColumn("history_available_at", F.timestamp_micros("__a")).drop("__a")
 
 
 def rolling_features(matches: DataFrame, windows: Sequence[int] = (5, 10), *, half_life_days: float = 365.0, available_col: str = "available_at", elo=None) -> DataFrame:
     """``match_id`` with every rolling column of both sides and their differences (team1 minus team2)."""
-    rows = team_rows(matches, available_col, elo)
-    long = recency(rows).join(decayed_means(rows, STATS, half_life_days), ["match_id", "side"]).join(last_means(rows, windows), ["match_id", "side"]).join(streaks(rows), ["match_id", "side"])
+    long = side_history(team_rows(matches, available_col, elo), windows, STATS, half_life_days)
     numbers = [c for c in long.columns if c not in ("match_id", "side", "history_available_at")]
     wide = widen(long, [*numbers, "history_available_at"])
     return wide.select("*", *((F.col(f"team1_{c}") - F.col(f"team2_{c}")).alias(f"{c}_diff") for c in numbers))
@@ -151,9 +249,7 @@ def head_to_head(matches: DataFrame, available_col: str = "available_at") -> Dat
     sums = {"n": F.lit(1), "w1": (F.col("g1") > F.col("g2")).cast("int"), "w2": (F.col("g2") > F.col("g1")).cast("int"), "s1": F.col("g1"), "s2": F.col("g2")}
     last = F.struct("k", "match_id", F.signum(F.col("g1") - F.col("g2")).alias("o"))
     asked = rows.select("match_id", "first", "p", "q", "k")
-    found = prefix(asked, rows, ["p", "q"], F.col("k"), known_from(), sums=sums)
-    latest = latest_known(asked.select("match_id", "p", "q", "k"), rows.select("p", "q", "k", "a", last.alias("last")))
-    out = found.join(latest, "match_id", "left")
+    out = prefix(asked, rows, ["p", "q"], F.col("k"), known_from(), sums=sums, maxima={"last": last})
     share = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(0.0))
     side = lambda x, y: F.when(F.col("first"), share(x)).otherwise(share(y))
     result = F.coalesce(F.col("last.o"), F.lit(0.0))
@@ -163,14 +259,6 @@ def head_to_head(matches: DataFrame, available_col: str = "available_at") -> Dat
     )
 
 
-def latest_known(asked: DataFrame, events: DataFrame) -> DataFrame:
-    """``match_id, last``: the largest ``last`` (by kickoff, id) among the known events of a pair."""
-    w = W.partitionBy("p", "q").orderBy("t", "tag").rowsBetween(W.unboundedPreceding, -1)
-    facts = events.select("p", "q", known_from().alias("t"), F.lit(1).alias("tag"), F.lit(None).cast("string").alias("match_id"), "last")
-    queries = asked.select("p", "q", F.col("k").alias("t"), F.lit(0).alias("tag"), "match_id", F.lit(None).cast(facts.schema["last"].dataType).alias("last"))
-    return facts.unionByName(queries).select("match_id", "tag", F.max("last").over(w).alias("last")).where("tag = 0").select("match_id", "last")
-
-
 def global_rate(matches: DataFrame, available_col: str = "available_at", prior_goals: float = 250.0, prior_matches: float = 200.0) -> DataFrame:
     """``match_id, goals_rate``: (250 + goals) / (200 + 2 matches) per side over all results known before kickoff.
 

@@ -153,9 +153,9 @@ def j7_interval_join(spark, d):
     m = matches(spark, d)
     asked = A.both_sides(m).select("match_id", "side", "team", C.micros("kickoff_utc").alias("k"))
     known = m.select("match_id", C.micros("kickoff_utc").alias("e"), C.micros(LATE).alias("known"))
-    events = view(spark, d, "goals").where(~F.col("own_goal")).select("match_id", "team").join(known, "match_id").drop("match_id")
-    hits = in_window(asked, events, 730.5)
-    return rounded(hits.groupBy("match_id", "side").agg(F.count(F.lit(1)).alias("n_goals"), F.sum(F.pow(F.lit(0.5), (F.col("k") - F.col("e")) / F.lit(365.0 * C.DAY_MICROS))).alias("decayed")))
+    events = view(spark, d, "goals").where(~F.col("own_goal")).select("match_id", "team", "scorer", F.lit(0).alias("penalty")).join(known, "match_id").drop("match_id")
+    none = events.select("team", "e", "known", F.lit(True).alias("complete")).limit(0)
+    return rounded(in_window(asked, events, none, 730.5, 365.0).where("n_goals > 0").select("match_id", "side", "n_goals", F.col("goals_decay").alias("decayed")))
 
 
 @query("with " + SCORERS + " select match_id, " + ", ".join(f"round(max(case when side = '{s}' then {n} end), 6) + 0.0 as {s}_scorer_{n}" for s in ("team1", "team2") for n in NAMES) + ", " + ", ".join(f"round(max(case when side = 'team1' then {n} end) - max(case when side = 'team2' then {n} end), 6) + 0.0 as scorer_{n}_diff" for n in NAMES) + " from lng group by match_id", "matches", "goals")
