@@ -252,3 +252,42 @@ def test_finalise_needs_both_gates(spark):
     assert all(found[m, s].promoted is p for m, p in (("good", True), ("lucky", False), ("blend", True)) for s in ("validation", "holdout"))
     assert found["lucky", "validation"].log_loss == pytest.approx(-math.log(0.7)) and found["lucky", "holdout"].log_loss == pytest.approx(-math.log(0.1))
     assert found["base", "holdout"].promoted is None
+
+
+def test_many_fits_are_the_single_ones(spark, rows):
+    """Every kind of candidate in one grid: the log of candidate-by-candidate fits, in a number of jobs that the grid does not change."""
+    from tidecast.operators.many_fits import Grid
+
+    folds = search.annual_folds(spark, 1991, 1995)
+    made = search.candidates(COLUMNS, kinds=["logistic", "two_stage", "poisson", "dixon_coles"], cs=(0.3, 1.0), half_lives=(None, 2.0))
+    made = {"prior": search.Prior, "one": lambda: models.Multinomial(["a"]), **made}
+    key = ["candidate", "fold", "match_id"]
+    one = search.backtest_log(rows, folds, made).toPandas().sort_values(key)
+    grid = Grid(rows, folds, {n: search.spec_of(m()) for n, m in made.items()})
+    many = grid.log().toPandas().sort_values(key)
+    assert (one[key].to_numpy() == many[key].to_numpy()).all() and len(one) == 14 * 358
+    assert np.abs(one[list(PROBABILITIES)].to_numpy() - many[list(PROBABILITIES)].to_numpy()).max() < 2e-5
+    small = Grid(rows, folds, {"logistic": search.spec_of(models.Multinomial(COLUMNS, c=1.0)), "dixon": search.spec_of(models.DixonColes(COLUMNS))})
+    assert grid.jobs <= small.jobs + 4 and grid.jobs < 30
+
+
+def test_many_fits_reach_the_optimum(spark, rows):
+    """The slopes of loss and penalty vanish, far below what the single fits stop at."""
+    from tidecast.operators.many_fits import Grid, Spec
+
+    specs = {"l": Spec("logistic", tuple(COLUMNS), 0.3, 2.0), "t": Spec("two_stage", tuple(COLUMNS), 0.3), "none": Spec("logistic", ("nothing",), 1.0)}
+    grid = Grid(rows.withColumn("nothing", F.lit(None).cast("double")), search.annual_folds(spark, 1993, 1993), specs)
+    pdf = rows.orderBy("match_id").toPandas()
+    pdf = pdf[pdf["kickoff_utc"] < "1993-01-01"]
+    fold = grid.folds[0]
+    x = np.column_stack([np.ones(len(pdf)), (pdf[COLUMNS].fillna(dict(zip(COLUMNS, fold.medians))).to_numpy(float) - fold.means[:2]) / fold.scales[:2]])
+    age = (pdf["kickoff_utc"].max() - pdf["kickoff_utc"]).dt.total_seconds() / (365.25 * 86400)
+    w = 0.5 ** (age.to_numpy() / 2)
+    w /= w.mean()
+    beta = grid.fits["l", 0, "classes"].beta.reshape(3, 3)
+    q = np.exp(x @ beta.T)
+    q /= q.sum(1, keepdims=True)
+    slope = ((q - np.eye(3)[pdf["outcome"]]) * w[:, None]).T @ x + np.array([0, 1, 1]) * beta / 0.3
+    assert np.abs(slope).max() < 1e-6
+    share = grid.log().where("candidate = 'none'").select(*PROBABILITIES).distinct().collect()
+    assert len(share) == 1 and share[0].p_draw == pytest.approx((pdf["outcome"] == 1).mean())

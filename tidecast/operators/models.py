@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -116,23 +116,25 @@ class TwoStage:
         return rows.select(*df.columns, ((1 - d) * (1 - w)).alias("p_team2_win"), d.alias("p_draw"), ((1 - d) * w).alias("p_team1_win"))
 
 
-def poisson_step(rows: DataFrame, beta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """X'WX and X'(y - mu), weighted, from one pass; each task sends one row of p * p + p numbers."""
+def poisson_step(rows: DataFrame, betas: dict[str, np.ndarray], p: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """X'WX and X'(y - mu), weighted, for each response with its coefficients: one pass; each task sends one row of p * p + p numbers a response."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, g = np.zeros((p, p)), np.zeros(p)
-        for pdf in batches:
-            if len(pdf):
-                x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy())])
-                mu = np.exp(np.clip(x @ beta, -30, 30))
-                w = pdf["w"].to_numpy()
-                h += (x * (w * mu)[:, None]).T @ x
-                g += x.T @ (w * (pdf["y"].to_numpy() - mu))
-        yield pd.DataFrame({"v": [np.concatenate([h.ravel(), g])]})
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {y: np.zeros(p * p + p) for y in betas}
+        for batch in batches:
+            if batch.num_rows:
+                column = lambda n: batch.column(batch.schema.get_field_index(n))
+                x = np.column_stack([np.ones(batch.num_rows), column("x").flatten().to_numpy().reshape(batch.num_rows, p - 1)])
+                w = column("w").to_numpy()
+                for y, beta in betas.items():
+                    mu = np.exp(np.clip(x @ beta, -30, 30))
+                    sums[y][: p * p] += ((x * (w * mu)[:, None]).T @ x).ravel()
+                    sums[y][p * p :] += x.T @ (w * (column(y).to_numpy() - mu))
+        yield pa.record_batch([pa.array([np.concatenate(list(sums.values()))], pa.list_(pa.float64()))], names=["v"])
 
-    parts = rows.mapInPandas(partial, "v array<double>")
-    total = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-    return total[: p * p].reshape(p, p), total[p * p :]
+    parts = rows.mapInArrow(partial, "v array<double>")
+    total = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy().reshape(len(betas), -1)
+    return {y: (v[: p * p].reshape(p, p), v[p * p :]) for y, v in zip(betas, total)}
 
 
 class TwoPoisson:
@@ -147,17 +149,19 @@ class TwoPoisson:
             vector_to_array("__x").alias("x"), F.col("team1_goals").cast("double").alias("y1"), F.col("team2_goals").cast("double").alias("y2"), (F.col(self.weight) if self.weight else F.lit(1.0)).alias("w")
         ).cache()
         total, *means = rows.agg(F.sum("w"), *(F.sum(F.col("w") * F.col(y)) / F.sum("w") for y in ("y1", "y2"))).first()
-        p, self.betas = len(self.scaling.columns) + 1, []
-        for y, mean in zip(("y1", "y2"), means):
-            beta, penalty = np.zeros(p), np.full(p, self.alpha * total)
-            beta[0], penalty[0] = np.log(max(mean, 1e-6)), 0.0
-            for _ in range(self.steps):
-                h, g = poisson_step(rows.select("x", F.col(y).alias("y"), "w"), beta, p)
-                step = np.linalg.solve(h + np.diag(penalty + 1e-9), g - penalty * beta)
-                beta = beta + step
+        p = len(self.scaling.columns) + 1
+        penalty = np.r_[0.0, np.full(p - 1, self.alpha * total)]
+        betas = {y: np.r_[np.log(max(mean, 1e-6)), np.zeros(p - 1)] for y, mean in zip(("y1", "y2"), means)}
+        open_ = set(betas)
+        for _ in range(self.steps):
+            if not open_:
+                break
+            for y, (h, g) in poisson_step(rows, {y: betas[y] for y in sorted(open_)}, p).items():
+                step = np.linalg.solve(h + np.diag(penalty + 1e-9), g - penalty * betas[y])
+                betas[y] = betas[y] + step
                 if np.abs(step).max() < 1e-8:
-                    break
-            self.betas.append(beta)
+                    open_.remove(y)
+        self.betas = [betas["y1"], betas["y2"]]
         rows.unpersist()
         return self
 
