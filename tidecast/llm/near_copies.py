@@ -5,8 +5,10 @@ are the links of SimHash fingerprints in vantage-point leaves and, as these reac
 copies, documents that share one of BANDS keys, each of ROWS min-hashes: a pair at similarity 0.8
 meets in a key with a probability of 1 - 1.3e-7, one at 0.1 with 4e-4. All candidates are
 verified by the true similarity of their shingle sets. First each member of a key is compared with
-the key's smallest document; where a key still holds documents of different components, those
-outside its largest component are compared with all of the others.
+the key's smallest document; where a key still holds documents of different components, the few
+outside its largest component are compared with all of the others. In a crowded key (a passage that many share, say) only those are
+compared that share a second crowded key: a pair at similarity 0.8 shares 13 of the 40 keys on average, and a single one with a
+probability of 2e-6.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .simhash import majority, near_duplicates, shingle_hashes
 SHINGLE_WORDS = 5
 BANDS = 40
 ROWS = 5
+#: So many members outside the largest component of a key are compared with all of it; a key with more is crowded.
+FEW = 16
 #: The least similarity of a link is NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Up to so many keys or ids are broadcast; more are joined by shuffle.
@@ -95,6 +99,24 @@ def verified(docs: DataFrame, merged: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(both.where(shared * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR).select("u", "v").distinct())
 
 
+def unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the ``links`` leave to compare in keys (``key, node``) that hold several components: (pairs u, v; rows of crowded keys as ``key, node, comp, main``).
+
+    Members of a key's largest component meet only those outside it. A key with more than FEW of these is crowded.
+    """
+    placed = members.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    mixed = cut(sizes.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"))
+    rest = cut(placed.join(bounded(mixed), "key"))
+    return pairs_of(rest.where(F.col("outside") <= FEW)), rest.where(F.col("outside") > FEW).select("key", "node", "comp", "main")
+
+
+def pairs_of(rest: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components of a key, one of them outside its main one."""
+    a, b = rest.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("x")), rest.select("key", F.col("node").alias("b"), F.col("comp").alias("y"))
+    return a.join(b, "key").where("x <> y").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows to drop, rows to keep once), both ``doc_id, th`` with th the xxhash64 of the text.
 
@@ -115,14 +137,20 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     stars = cut(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).unionByName(close).distinct())
     links = verified(texts, merged, stars)
-    placed = members.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = cut(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
-    rest = cut(placed.join(bounded(mixed), "key"))
-    # members of the largest component of a key meet only those outside it
-    largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    a, b = rest.join(largest, "key").where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("x")), rest.toDF("key", "b", "y")
-    others = a.join(b, "key").where("x <> y").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    links = links.unionByName(verified(texts, merged, cut(others)))
+    near, crowded = unsettled(members.select("key", "node"), links)
+    links = links.unionByName(verified(texts, merged, cut(near.join(stars, ["u", "v"], "left_anti"))))
+    if not crowded.isEmpty():
+        # two documents of a crowded key also share a second one, or meet in a key that is not crowded
+        both = crowded.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("k")).where("size(k) > 1")
+        second = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+        both = cut(both.select("node", F.explode(second).alias("key")))
+        hubs = cut(both.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least"))
+        both = cut(both.join(bounded(hubs), "key"))
+        more = cut(both.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct())
+        links = cut(links.unionByName(verified(texts, merged, more)))
+        near, crowded = unsettled(both.select("key", "node"), links)
+        rest = near.unionByName(pairs_of(crowded)).distinct()
+        links = links.unionByName(verified(texts, merged, cut(rest.join(stars.unionByName(more).distinct(), ["u", "v"], "left_anti"))))
 
     labels = merged.join(components(links).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     labels = cut(labels.where("component is not null or copies > 1").select("same", "first", F.coalesce("component", "node").alias("comp")))
