@@ -291,3 +291,30 @@ def test_many_fits_reach_the_optimum(spark, rows):
     assert np.abs(slope).max() < 1e-6
     share = grid.log().where("candidate = 'none'").select(*PROBABILITIES).distinct().collect()
     assert len(share) == 1 and share[0].p_draw == pytest.approx((pdf["outcome"] == 1).mean())
+
+
+def test_boosted_classes_against_plain_boosting(spark):
+    """Histogram boosting finds the interaction, and its first trees are those of a plain search over all splits."""
+    from tidecast.operators.boosting import BoostedClasses, softmax
+
+    rng = random.Random(2)
+    data = []
+    for i in range(600):
+        a, b = rng.randrange(-8, 8) / 8, rng.randrange(-8, 8) / 8
+        data.append((f"m{i:03}", a, b if i % 11 else None, 1 if a * b > 0 else (2 if a > 0 else 0)))
+    df = spark.createDataFrame(data, "match_id string, a double, b double, outcome int").repartition(3).cache()
+    model = BoostedClasses(COLUMNS, rounds=12, rate=0.3, least=0.0).fit(df)
+    p = probabilities(model.predict(df))
+    truth = np.array([r[3] for r in sorted(data)])
+    assert np.allclose(p.sum(1), 1) and (p.argmax(1) == truth).mean() > 0.9
+
+    x = np.array([[r[1], np.nan if r[2] is None else r[2]] for r in sorted(data)])
+    one = BoostedClasses(COLUMNS, rounds=1, depth=1, rate=0.3, least=0.0).fit(df)
+    q = softmax(np.tile(one.start, (len(x), 1)))
+    for k in range(3):
+        g, h = q[:, k] - (truth == k), q[:, k] * (1 - q[:, k])
+        best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)), j, v) for j in (0, 1) for v in np.unique(x[~np.isnan(x[:, j]), j]) for left in [np.isnan(x[:, j]) | (x[:, j] < v)])
+        left = np.isnan(x[:, best[1]]) | (x[:, best[1]] < best[2])
+        want = np.where(left, -0.3 * g[left].sum() / (h[left].sum() + 1), -0.3 * g[~left].sum() / (h[~left].sum() + 1))
+        got = one.trees[0][k].scores(one.binned(x))
+        assert np.allclose(got, want)

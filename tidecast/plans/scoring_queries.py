@@ -13,9 +13,11 @@ from ..operators import search as X
 from ..operators import standings as T
 from ..operators.calibration import Ensemble, Isotonic, Sigmoid, Temperature, blend_weights
 from ..operators.asof import widen
+from ..operators.boosting import BoostedClasses
 from ..operators.history import prior_counts, side_history, team_rows
 from ..operators.models import DixonColes, Multinomial, TwoPoisson, TwoStage, elo_baseline, fit_rho, load_state, save_model
 from ..operators.ratings import elo_features
+from ..operators.scorers import scorer_features
 from ..sources.fixtures import view
 from ..sources.scratch import scratch
 from .contract_queries import matches, preds
@@ -287,7 +289,7 @@ def m2_elo_baseline(spark, d):
 
 @query()
 def m3_boosted_trees(spark, d):
-    return scored(TwoStage(COLUMNS, kind="trees", rounds=10), spark, d)
+    return scored(BoostedClasses(COLUMNS, rounds=20), spark, d)
 
 
 @query()
@@ -398,12 +400,22 @@ def m19_model_search(spark, d):
     return rounded(X.chronological_search(model_table(spark, d), COLUMNS, "1998-01-01", "1999-01-01", "1999-07-01", "2000-01-01", "2003-01-01", models=grid), 4)
 
 
+SCORERS = ["scorer_goals_decay_diff", "scorer_top1_goals_decay_diff", "scorer_top3_share_diff", "scorer_active_players_diff", "scorer_coverage_diff"]
+
+
 @query()
 def m21_pairwise_blends(spark, d):
-    rows = model_table(spark, d)
-    models = {"logistic": lambda: Multinomial(COLUMNS), "trees": lambda: TwoStage(COLUMNS, kind="trees", rounds=5)}
-    log = X.backtest_log(rows, X.annual_folds(spark, 2000, 2000), models)
-    return rounded(X.pairwise_blends(log, "logistic", ["trees"]), 4)
+    """Over three years: the logistic model blended with trees of three classes, with trees of two stages, and with models that see the scorers too."""
+    threats = scorer_features(matches(spark, d), view(spark, d, "goals")).select("match_id", *SCORERS)
+    path = scratch(spark, "scorers")
+    model_table(spark, d).join(threats, "match_id").write.parquet(path)
+    with_scorers = [*COLUMNS, *SCORERS]
+    models = {
+        "logistic": lambda: Multinomial(COLUMNS), "trees": lambda: BoostedClasses(COLUMNS, rounds=20), "two-stage trees": lambda: TwoStage(COLUMNS, kind="trees", rounds=10),
+        "scorers": lambda: Multinomial(with_scorers), "scorer trees": lambda: BoostedClasses(with_scorers, rounds=20),
+    }
+    log = X.grid_log(spark.read.parquet(path), X.annual_folds(spark, 1998, 2000), models)
+    return rounded(X.pairwise_blends(log, "logistic", [n for n in models if n != "logistic"]), 4)
 
 
 @query()
