@@ -206,12 +206,23 @@ class Model:
         """Toxic minus ordinary log-likelihood of each word."""
         owner, gram, context = grams(words)
         p = np.full(len(owner), 1e-4)
+        # a longer gram or context can only be there if the shorter ones are, so ever fewer places are asked for
+        live, found = np.arange(len(owner)), np.ones(len(owner), bool)
         for i in range(len(ORDERS) - 1):
-            ends, totals = self.ends.of(gram[i])["ends"], self.totals.of(context[i])
-            total, kinds = totals["ends"], totals["kinds"]
-            own = np.maximum(ends - DISCOUNT, 0)
-            p = np.where(total > 0, (own + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
-        of_gram, of_context = self.grams.of(gram[-1]), self.contexts.of(context[-1])
+            totals = self.totals.of(context[i][live])
+            there = totals["ends"] > 0
+            live, total, kinds = live[there], totals["ends"][there], totals["kinds"][there]
+            asked = found[live]
+            ends = np.zeros(len(live), np.int32)
+            ends[asked] = self.ends.of(gram[i][live[asked]])["ends"]
+            found[live] = ends > 0
+            p[live] = (np.maximum(ends - DISCOUNT, 0) + DISCOUNT * kinds * p[live]) / total
+        of_gram, of_context = ({c: np.zeros(len(owner), np.int32) for c in side.columns} for side in (self.grams, self.contexts))
+        for c, v in self.contexts.of(context[-1][live]).items():
+            of_context[c][live] = v
+        live = live[found[live]]
+        for c, v in self.grams.of(gram[-1][live]).items():
+            of_gram[c][live] = v
         logs = []
         for kind in "to":
             name = kind if fold is None else f"{kind}{fold}"
