@@ -129,3 +129,18 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(i, i) for i in range(0, 60, 7)}
     assert [r.doc_id for r in decontaminate.decontaminate(df, bench).collect()] == [100]
+
+
+def test_repetitive_items_take_bounded_memory():
+    """An item of a million characters that repeats itself, in a text that does too and in one that holds it once."""
+    import tracemalloc
+
+    items = ["ab " * 333_334, "x1 y2 z3 " * 100 + " ".join(f"w{i}" for i in range(3000))]
+    texts = [np.frombuffer(decontaminate.normalise(t).encode("utf-32-le"), np.uint32) for t in items]
+    tracemalloc.start()
+    index = decontaminate.Index([7, 8], texts, decontaminate.Settings())
+    found = index.search(["zz " + "ab " * 30 + "zz", "ab " * 30_000, "q " * 200, items[1][:400], "ab " * 20] + ["clean words only"] * 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [sorted(f) for f in found[:5]] == [[0], [0], [], [1], []] and not any(found[5:])
+    assert found[0][0][0] == 0 and peak < 1 << 30

@@ -120,11 +120,13 @@ class Index:
 
     def __init__(self, items: list, texts: list[np.ndarray], settings: Settings):
         self.settings, self.items = settings, items
-        grams = [qgrams(t, settings.q) for t in texts]
-        lengths = np.array([len(g) for g in grams], np.int64)
-        keys = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams), dtype=np.int32), lengths)
-        offset = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)])
+        starts = [self.distinct(t, settings) for t in texts]
+        # places of q-grams that a passage needs: all, but in items that repeat themselves
+        offsets = [self.needed(s, len(t), settings) for s, t in zip(starts, texts)]
+        lengths = np.array([len(o) for o in offsets], np.int64)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(qgrams(t, settings.q)[o] for t, o in zip(texts, offsets))])
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        offset = np.concatenate([np.zeros(0, np.int32), *offsets]).astype(np.int32)
         order = np.argsort(keys, kind="stable")
         self.item, self.offset = item[order], offset[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
@@ -138,12 +140,29 @@ class Index:
         self.most_edits = max((settings.edits(int(x)) for x in m), default=0)
         self.band = self.most_edits + 1
         self.longest = int(self.length.max(initial=0))
-        starts = [settings.starts(int(n)) for n in self.length]
         self.passage_count = np.array([len(x) for x in starts], np.int64)
         self.passage_first = np.cumsum(self.passage_count) - self.passage_count
-        self.passage_start = np.concatenate([np.zeros(0, np.int64), *map(np.array, starts)]).astype(np.int64)
+        self.passage_start = np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int64)
         #: beyond both ends of a document, and between two of them: more than any passage can bridge
-        self.margin = self.longest + 4 * self.band + settings.window
+        self.margin = 4 * (settings.window + 2 * self.band)
+
+    @staticmethod
+    def distinct(text: np.ndarray, settings: Settings) -> np.ndarray:
+        """Starts of an item's passages, the first of equal ones: what matches one of them matches the first."""
+        starts, m = np.array(settings.starts(len(text))), min(len(text), settings.window)
+        if len(starts) < 2:
+            return starts
+        views = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, m)[starts])
+        return starts[np.sort(np.unique(views.view([("", views.dtype)] * m).ravel(), return_index=True)[1])]
+
+    @staticmethod
+    def needed(starts: np.ndarray, length: int, settings: Settings) -> np.ndarray:
+        """Places of the q-grams of the passages at ``starts``."""
+        grams, own = max(0, length - settings.q + 1), max(0, min(length, settings.window) - settings.q + 1)
+        steps = np.zeros(length + 1, np.int64)
+        np.add.at(steps, starts, 1)
+        np.add.at(steps, starts + own, -1)
+        return np.flatnonzero(np.cumsum(steps)[:grams] > 0)
 
     def first_of_repeats(self, codes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Those of the places ``at`` that some region needs which is not the same as an earlier one of its text.
@@ -185,8 +204,13 @@ class Index:
             # a band is two neighbouring groups of diagonals, so a region that drifts by less lies whole in one
             wide = np.append((groups[1:] == groups[:-1] + 1) * counts[1:], [0] * min(1, len(groups)))
             good = groups[counts + wide >= self.bound[groups // span]]
-            if len(good):
-                yield self.passages(good, span, keys, offset)
+            # bands with a bounded number of passages at a time
+            sizes = np.cumsum(self.passage_count[good // span])
+            lo = 0
+            while lo < len(good):
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PAIRS, "right")))
+                yield self.passages(good[lo:hi], span, keys, offset)
+                lo = hi
             if b == len(at):
                 return
             a = max(a + 1, int(np.searchsorted(at, at[b] - overlap)))
