@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +36,50 @@ def read_matches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return canonical_matches(read_csv(spark, path, MATCH_CSV))
 
 
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, length, sha256`` of every file below ``path``."""
+def file_checksums(spark: SparkSession, path: str, glob: str = "*", block_bytes: int = 8 << 20) -> DataFrame:
+    """``path, length, sha256`` of every file below ``path``.
+
+    Spark lists the files without their content; tasks then read them block by block through the file system, so a file of any size
+    takes the memory of one block. Empty files are left out, as by all of Spark's file readers. Stores that only Spark opens are read as whole files (2 GB at most).
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    listed = files.select("path", "length")
+    first = listed.first()
+    if first is None:
+        return listed.withColumn("sha256", F.lit(None).cast("string"))
+    if not opens(first["path"]):
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, file in enumerate(batch.column(0).to_pylist()):
+                digest = sha256()
+                system, place = located(file)
+                with system.open_input_stream(place) as stream:
+                    while block := stream.read(block_bytes):
+                        digest.update(block)
+                yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([digest.hexdigest()])], names=["path", "length", "sha256"])
+
+    # one file after another in a task, large ones spread over tasks
+    return listed.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "path string, length long, sha256 string")
+
+
+def located(uri: str):
+    """(file system, place in it) of a path as Spark gives it, which is not escaped."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    rest = rest if rest.startswith("//") else "//" + rest
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+
+
+def opens(uri: str) -> bool:
+    try:
+        system, place = located(uri)
+        system.open_input_stream(place).close()
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -116,6 +161,50 @@ def reconcile(mirror: DataFrame, official: DataFrame, fields=("kickoff_utc", "te
     return both.select(F.coalesce("mirror_key", "official_key").alias(key), F.inline(found))
 
 
+def key_prefix(bits: int, name: str = "__h") -> Column:
+    return F.shiftrightunsigned(F.col(name), 64 - bits)
+
+
+def differing_ranges(mirror: DataFrame, official: DataFrame, fields, key: str = "match_id", *, bits: int = 10, leaf_rows: int = 1_000, most: int = 100_000) -> tuple[DataFrame | None, int]:
+    """(prefixes of key hashes in which two tables differ, their bits): a hash tree, descended only where sums differ.
+
+    Each level adds up number and hashes of the rows of each range, on both sides; what moves is one row for each range and task. It goes down until ranges that
+    differ hold few rows. None if more than ``most`` ranges differ: then the tables have little in common.
+    """
+    wanted, depth = None, 0
+    while True:
+        depth += bits
+
+        def sums(df: DataFrame, side: str, depth=depth, wanted=wanted) -> DataFrame:
+            rows = df.select(F.xxhash64(key).alias("__h"), F.xxhash64(key, *(F.col(f).cast("string") for f in fields), *(F.col(f).isNull() for f in fields)).alias("__r"))
+            if wanted is not None:
+                rows = rows.join(F.broadcast(wanted), key_prefix(depth - bits) == F.col("prefix"), "left_semi")
+            return rows.groupBy(key_prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias(f"n_{side}"), F.bit_xor("__r").alias(f"x_{side}"), F.sum(F.col("__r").cast("decimal(38,0)")).alias(f"s_{side}"))
+
+        both = sums(mirror, "a").join(sums(official, "b"), "prefix", "full_outer")
+        same = F.coalesce((F.col("n_a") == F.col("n_b")) & (F.col("x_a") == F.col("x_b")) & (F.col("s_a") == F.col("s_b")), F.lit(False))
+        found = both.where(~same).select("prefix", F.greatest(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))).alias("n")).limit(most + 1).toPandas()
+        if len(found) > most:
+            return None, depth
+        spark = mirror.sparkSession
+        wanted = spark.createDataFrame([(int(p),) for p in found["prefix"]], "prefix long")
+        if not len(found) or found["n"].max() <= leaf_rows or depth + bits > 40:
+            return wanted, depth
+
+
+def reconcile_ranges(mirror: DataFrame, official: DataFrame, fields=("kickoff_utc", "team1", "team2", "group", "stage"), key: str = "match_id", **options) -> DataFrame:
+    """The report of ``reconcile`` for tables that differ in few rows: only the rows of hash ranges that differ are joined.
+
+    Rows without a key are on one side only, as there. Two tables whose rows of a range differ but have equal number, exclusive-or and sum of 64-bit hashes are taken for equal.
+    """
+    ranges, depth = differing_ranges(mirror, official, fields, key, **options)
+    if ranges is None:
+        return reconcile(mirror, official, fields, key)
+    own = F.shiftrightunsigned(F.xxhash64(key), 64 - depth) == F.col("prefix")
+    sides = [df.join(F.broadcast(ranges), own, "left_semi") for df in (mirror, official)]
+    return reconcile(*sides, fields, key)
+
+
 PAGE = (
     "struct<buildId: string, props: struct<pageProps: struct<pageData: struct<ranking: struct<dates: array<struct<dates: array<struct<id: string, iso: string>>>>, "
     "allAvailableDates: array<struct<id: string, date: string, matchWindowEndDate: string>>>>>>>"
@@ -155,6 +244,42 @@ def ranking_rows(payloads: DataFrame, payload: str = "payload", schedule: str =
     return rank_position(flat)
 
 
+def extend_ranking_corpus(spark: SparkSession, files: str, corpus: str, schedules: DataFrame, glob: str = "*.json.gz", name: str = r"([^/.]+)[^/]*$") -> int:
+    """Add to ``corpus`` the ranking snapshots below ``files`` that it does not have; the number of files read.
+
+    A file is known by the hash of its content, kept in the corpus' manifest; the group of ``name`` in its path is its schedule. New snapshots
+    are one batch, in a folder named by their hashes, and count once the manifest has that batch: a run that broke off is done again in the same place.
+    """
+    listed = file_checksums(spark, files, glob).select("path", "sha256").dropDuplicates(["sha256"])
+    known = corpus_manifest(spark, corpus)
+    new = listed.join(known.select("sha256"), "sha256", "left_anti").select("sha256", "path").checkpoint()
+    digest = new.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sha256")).alias("x"), F.sum(F.xxhash64("sha256").cast("decimal(38,0)")).alias("s")).first()
+    if not digest["n"]:
+        return 0
+    batch = sha256(f"{digest['n']}|{digest['x']}|{digest['s']}".encode()).hexdigest()[:16]
+    content = spark.read.option("wholetext", True).text([r["path"] for r in new.select("path").collect()]).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
+    stamped = content.withColumn("schedule_id", F.regexp_extract("path", name, 1)).join(schedules.select("schedule_id", "published_at"), "schedule_id")
+    ranking_rows(stamped).write.mode("overwrite").parquet(f"{corpus}/rows/batch={batch}")
+    new.select("sha256", F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{corpus}/manifest")
+    return digest["n"]
+
+
+def corpus_manifest(spark: SparkSession, corpus: str) -> DataFrame:
+    """``sha256, batch`` of the snapshots that a corpus has."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{corpus}/manifest").dropDuplicates(["sha256"])
+    except AnalysisException:
+        return spark.createDataFrame([], "sha256 string, batch string")
+
+
+def read_extended_corpus(spark: SparkSession, corpus: str) -> DataFrame:
+    """The rows of all batches in the manifest."""
+    done = corpus_manifest(spark, corpus).select("batch").distinct()
+    return spark.read.option("basePath", f"{corpus}/rows").parquet(f"{corpus}/rows").join(F.broadcast(done), "batch").drop("batch")
+
+
 def read_ranking_corpus(spark: SparkSession, folder: str, schedules: DataFrame, start, end) -> DataFrame:
     """All cached payloads (``{schedule_id}.json.gz``) whose schedule was published in [start, end), in one scan."""
     files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.json(\.gz)?$", 1).alias("schedule_id"), F.col("value").alias("payload"))
