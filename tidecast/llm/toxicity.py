@@ -233,16 +233,21 @@ class Model:
 
 
 class Evidence(dict):
-    """word -> log ratio, filled for many new words at a time."""
+    """word -> log ratio, filled for many new words at a time; of an older generation only words that come again stay."""
 
     def __init__(self, model: Model, fold: int | None):
-        self.model, self.fold = model, fold
+        self.model, self.fold, self.old = model, fold, {}
+
+    def __missing__(self, word: str) -> float:
+        self[word] = found = self.old[word]
+        return found
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         if len(self) > 200_000:
+            self.old = dict(self)
             self.clear()
         words = [_WORDS.findall((t or "").lower()) for t in texts]
-        new = list(set().union(*map(set, words)) - self.keys())
+        new = list(set().union(*map(set, words)) - self.keys() - self.old.keys())
         for a in range(0, len(new), 5_000):
             part = new[a : a + 5_000]
             self.update(zip(part, self.model.log_ratio(part, self.fold).tolist()))
