@@ -265,3 +265,32 @@ def test_web_tokens_in_long_runs_take_linear_time():
                 if secret_scan.header_holds(t):
                     want.append((t.start(), t.end(), "jwt"))
         assert [s for s in secret_scan.find_secrets(text, automaton) if s[2] == "jwt"] == want
+
+
+def test_instructions_meet_all_limits(spark, library):
+    """Conversations: every answer's ids lie in one piece each, loss is that of the answers, and no limit is passed."""
+    from tidecast.llm import registry
+
+    rows = registry.packing_instructions(spark, "/root/testdata/sf0.01").collect()
+    sequences = check_pieces(rows, 2048, 4, 1536)
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
+    answers = {c << 20 | t: r.text for (c, t), r in turns.items() if r.role == "assistant"}
+    assert {r.doc_id for r in rows} == set(answers)
+    loss = {}
+    for r in rows:
+        loss[r.doc_id] = loss.get(r.doc_id, 0) + r.loss_tokens
+    for d, text in answers.items():
+        assert loss[d] == len(library.encode(text, add_special_tokens=False).ids) + 1
+    of_sequence = {}
+    for r in rows:
+        n = of_sequence.setdefault(r.sequence_id, [0, 0, 0])
+        n[:] = [n[0] + r.length, n[1] + 1, n[2] + r.loss_tokens]
+    assert max(n[1] for n in of_sequence.values()) == 4 and max(n[0] for n in of_sequence.values()) == 2048
+    assert len(sequences) == len(of_sequence)
+
+
+def test_examples_of_odd_turns(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", None), (2, 0, "assistant", "alone"), (None, 1, "assistant", "x"), (3, None, "assistant", "x"), (4, 5, "user", None), (4, 6, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in packing.instruction_examples(df).collect())
+    assert got == [(1 << 20 | 1, "q\na", 2), (2 << 20, "alone", 0), (4 << 20 | 6, "\n", 1)]

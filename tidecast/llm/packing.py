@@ -5,9 +5,8 @@ loss-bearing tokens. Whole sequences are cut off long documents first; the
 remaining tails are placed by the dot-product heuristic: among the tails that
 fit, the one whose vector (tokens, segment, loss), each scaled by its limit,
 has the largest dot product with the room left. When no tail fits whole, the
-largest one is cut to close the sequence. What is left over at the end of a
-task is cut at powers of two, so only a sequence that meets its segment or loss
-limit early is padded.
+largest one is cut to close the sequence. A sequence that meets its segment or loss limit
+early, and what is left over at the end of a task, is cut at powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -112,7 +111,8 @@ def pack(
     ``prompt_col`` may count the leading characters of a text that bear no loss
     (the instruction part); by default all tokens bear loss. Null texts count
     as empty: a document of one end id. Repeated rows are packed as often as
-    they occur. No shuffle: each task packs what it reads, in windows of
+    they occur; an empty table gives no pieces. Texts of any length are cut into whole sequences first; of equal candidates the
+    first read is placed. No shuffle: each task packs what it reads, in windows of
     ``WINDOW`` tails, and sequence ids carry the task's number.
     """
     vocabulary = vocabulary or default_vocabulary()
@@ -184,3 +184,16 @@ def pack(
     prompt = F.col(prompt_col).cast("int") if prompt_col else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), prompt.alias("prompt"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def instruction_examples(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", answer: str = "assistant") -> DataFrame:
+    """``doc_id, text, prompt``: each answer with the turn before it, which bears no loss (``prompt`` has its characters).
+
+    An answer without a turn before it stands alone. Of several rows of one turn the largest (role, text) counts; rows without a
+    conversation or turn are left out; null texts count as empty. ``doc_id`` is conversation * 2^20 + turn. No conversation is held in one task.
+    """
+    key = turns.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.struct(F.col(role_col).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("x"))
+    one = key.where("c is not null and t is not null").groupBy("c", "t").agg(F.max("x").alias("x"))
+    asked = one.select(F.col("c").alias("c0"), F.col("t").alias("t0"), F.concat(F.col("x.text"), F.lit("\n")).alias("before"))
+    both = one.where(F.col("x.role") == answer).join(asked, (F.col("c") == F.col("c0")) & (F.col("t") - 1 == F.col("t0")), "left").withColumn("before", F.coalesce("before", F.lit("")))
+    return both.select((F.col("c") * (1 << 20) + F.col("t")).alias("doc_id"), F.concat("before", "x.text").alias("text"), F.length("before").alias("prompt"))

@@ -13,7 +13,7 @@ from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mpeg_audio import media_columns, store_media
-from .packing import pack
+from .packing import instruction_examples, pack
 from .periodic_runs import periodic_runs
 from .quality import score_quality
 from .secret_scan import scan_secrets
@@ -116,9 +116,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all conversations with what they answer, loss on the answers alone: segments and loss limit the sequences besides tokens."""
+    return pack(instruction_examples(read_table(spark, sf_dir, "conversations")), prompt_col="prompt", max_segments=4, max_loss_tokens=1536)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity, op11_whitening, op12_language_id, op13_periodic_runs)
+    for f in (op1_license_scan, op2_quality, op3_simhash, op4_secret_scan, op5_line_dedup, op6_token_files, op7_decontamination, op8_mpeg_audio, op9_packing, op10_toxicity, op11_whitening, op12_language_id, op13_periodic_runs, packing_instructions)
 }
 
 #: A line goes where an equal line stands earlier, or, if it has 20 or more characters, one of 20 or
