@@ -272,7 +272,7 @@ def test_instructions_meet_all_limits(spark, library):
     from tidecast.llm import registry
 
     rows = registry.packing_instructions(spark, "/root/testdata/sf0.01").collect()
-    sequences = check_pieces(rows, 2048, 4, 1536)
+    sequences = check_pieces(rows, 2048, 6, 1800)
     turns = {(r.conv_id, r.turn): r for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
     answers = {c << 20 | t: r.text for (c, t), r in turns.items() if r.role == "assistant"}
     assert {r.doc_id for r in rows} == set(answers)
@@ -285,7 +285,7 @@ def test_instructions_meet_all_limits(spark, library):
     for r in rows:
         n = of_sequence.setdefault(r.sequence_id, [0, 0, 0])
         n[:] = [n[0] + r.length, n[1] + 1, n[2] + r.loss_tokens]
-    assert max(n[1] for n in of_sequence.values()) == 4 and max(n[0] for n in of_sequence.values()) == 2048
+    assert max(n[1] for n in of_sequence.values()) == 6 and max(n[0] for n in of_sequence.values()) == 2048
     assert len(sequences) == len(of_sequence)
 
 

@@ -118,7 +118,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of all conversations with what they answer, loss on the answers alone: segments and loss limit the sequences besides tokens."""
-    return pack(instruction_examples(read_table(spark, sf_dir, "conversations")), prompt_col="prompt", max_segments=4, max_loss_tokens=1536)
+    return pack(instruction_examples(read_table(spark, sf_dir, "conversations")), prompt_col="prompt", max_segments=6, max_loss_tokens=1800)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
