@@ -63,14 +63,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingle_hashes(t or "", SHINGLE_WORDS) for t in batch.column(2).to_pylist()]
-            sets = [np.unique(h) for h in hashes]
-            same = [xxh3_128_digest(s.tobytes()) for s in sets]
-            nodes = np.frombuffer(b"".join(d[:8] for d in same), np.int64)
-            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(nodes), pa.array(prints), keys], names=["doc_id", "th", "same", "node", "fp", "keys"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                hashes = [shingle_hashes(t or "", SHINGLE_WORDS) for t in batch.column(2).to_pylist()]
+                sets = [np.unique(h) for h in hashes]
+                same = [xxh3_128_digest(s.tobytes()) for s in sets]
+                nodes = np.frombuffer(b"".join(d[:8] for d in same), np.int64)
+                prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+                keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(nodes), pa.array(prints), keys], names=["doc_id", "th", "same", "node", "fp", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, th long, same binary, node long, fp long, keys array<long>")
 

@@ -15,6 +15,8 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 1_000_000
 FEATURES = 9
+#: So long a worker keeps the counts after its last task with them.
+HELD_SECONDS = 8
 
 _WORDS = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -193,14 +197,31 @@ class Model:
                     side[k] += side.pop(f"{k}1")
 
     _held: tuple = (None, None)
+    _users = 0
+    _clock: Timer | None = None
 
     @classmethod
-    def opened(cls, paths: dict[str, str], halves: bool) -> Model:
-        """The model of ``paths``, read once by a worker for all of its tasks."""
+    @contextmanager
+    def opened(cls, paths: dict[str, str], halves: bool) -> Iterator[Model]:
+        """The model of ``paths``, read once by a worker for all of its tasks, and let go some seconds after the last of them."""
+        if cls._clock:
+            cls._clock.cancel()
         if cls._held[0] != (paths, halves):
             cls._held = (None, None)
             cls._held = ((paths, halves), cls(paths, halves))
-        return cls._held[1]
+        cls._users += 1
+        try:
+            yield cls._held[1]
+        finally:
+            cls._users -= 1
+            cls._clock = Timer(HELD_SECONDS, cls.let_go)
+            cls._clock.daemon = True
+            cls._clock.start()
+
+    @classmethod
+    def let_go(cls) -> None:
+        if not cls._users:
+            cls._held = (None, None)
 
     def log_ratio(self, words: list[str], fold: int | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
@@ -285,18 +306,19 @@ def features(docs: DataFrame, model, id_col: str, text_col: str, fold_col: str |
     """``doc_id, x``; with ``fold_col`` each row is judged by the model of that fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Model.opened(model, fold_col is not None)
-        own = {f: Evidence(counts, f) for f in ((None,) if fold_col is None else (0, 1))}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                texts, folds = part.column(1).to_pylist(), part.column(2).to_pylist()
-                x = np.zeros((len(texts), FEATURES))
-                for f, evidence in own.items():
-                    rows = [i for i, of in enumerate(folds) if of == f]
-                    if rows:
-                        x[rows] = evidence.features([texts[i] for i in rows])
-                yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+        with Model.opened(model, fold_col is not None) as counts:
+            own = {f: Evidence(counts, f) for f in ((None,) if fold_col is None else (0, 1))}
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    texts, folds = part.column(1).to_pylist(), part.column(2).to_pylist()
+                    x = np.zeros((len(texts), FEATURES))
+                    for f, evidence in own.items():
+                        rows = [i for i, of in enumerate(folds) if of == f]
+                        if rows:
+                            x[rows] = evidence.features([texts[i] for i in rows])
+                    yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            own.clear()
 
     fold = F.col(fold_col).cast("int") if fold_col else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), fold.alias("fold"))
@@ -346,11 +368,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(Model.opened(model, False), None)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                x = evidence.features(part.column(at).to_pylist())
-                yield part.filter(pa.array(calibration.probability(x) < threshold))
+        with Model.opened(model, False) as counts:
+            evidence = Evidence(counts, None)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    x = evidence.features(part.column(at).to_pylist())
+                    yield part.filter(pa.array(calibration.probability(x) < threshold))
 
     return docs.mapInArrow(run, names)
