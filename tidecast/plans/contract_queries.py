@@ -418,6 +418,14 @@ def j10_name_report(spark, d):
     return N.name_report(results_raw(spark, d), aliases(spark, d), ["home_team", "away_team"]).select("total_values", "alias_matches", F.array_join("unresolved", ",").alias("unresolved"))
 
 
+@query("select name, count(*) as n from (select concat('customer ', cast(c_custkey % 50 as varchar(20))) as name from customer union all select n_name from nation) where name not in (select n_name from nation) group by name")
+def j10_unresolved_names(spark, d):
+    """Names that no alias knows, as rows, however many there are."""
+    label = F.concat(F.lit(" customer "), (F.col("c_custkey") % 50).cast("string"))
+    names = table(spark, d, "customer").select(label.alias("name")).unionByName(table(spark, d, "nation").select(F.lower("n_name").alias("name")))
+    return N.unresolved_names(names, aliases(spark, d), ["name"])
+
+
 @query("""with o as (select match_id, team1 as t from matches where cast(substring(match_id, 2) as bigint) % 7 <> 0), m as (select match_id, case when cast(substring(match_id, 2) as bigint) % 5 = 0 then team2 else team1 end as t from matches where cast(substring(match_id, 2) as bigint) % 11 <> 0)
 select coalesce(m.match_id, o.match_id) as match_id, case when m.match_id is null or o.match_id is null then 'match_id' else 'team1' end as field, case when m.match_id is null or o.match_id is null then null else m.t end as mirror,
  case when m.match_id is null or o.match_id is null then null else o.t end as official, case when m.match_id is null then 'right_only' when o.match_id is null then 'left_only' else 'mismatch' end as status

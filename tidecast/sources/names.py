@@ -43,8 +43,15 @@ def resolve_names(df: DataFrame, aliases: DataFrame, columns: Sequence[str]) ->
 
 
 def name_report(df: DataFrame, aliases: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: values, values changed through an alias, and the sorted names without an entry."""
+    """One row: values, values changed through an alias, and the sorted names without an entry. Where these may be many, ``unresolved_names`` has them as rows."""
     values = df.select(F.explode(F.array(*columns)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     joined = values.join(name_lookup(df, aliases, columns), "name")
     changed = F.col("resolved") & (F.col("canonical") != F.trim("name"))
     return joined.agg(F.sum("n").alias("total_values"), F.sum(F.when(changed, F.col("n")).otherwise(0)).alias("alias_matches"), F.array_sort(F.collect_set(F.when(~F.col("resolved"), F.trim("name")))).alias("unresolved"))
+
+
+def unresolved_names(df: DataFrame, aliases: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``name, n``: the trimmed names without an entry, and how many values have each."""
+    values = df.select(F.explode(F.array(*columns)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    missing = values.join(name_lookup(df, aliases, columns).where(~F.col("resolved")), "name")
+    return missing.groupBy(F.trim("name").alias("name")).agg(F.sum("n").alias("n"))
