@@ -41,3 +41,46 @@ def test_every_order_is_counted(spark):
     """A gram that was never seen backs off to the one that is a single character shorter."""
     words = toxicity.word_counts(spark.createDataFrame([("alphabetical", 0, 1)], "text string, fold int, y int"))
     assert {r.n for r in toxicity.gram_counts(words).select("n").distinct().collect()} == set(range(1, toxicity.ORDER + 1)) and toxicity.ORDER == 8
+
+
+def plain_log_ratio(texts, word, fold=None):
+    """The Kneser-Ney ratio of a word, counted and summed place by place from the texts."""
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+
+    def windows(w):
+        padded = "\x02" * (n - 1) + w + "\x03"
+        return [padded[i - n + 1 : i + 1] for i in range(n - 1, len(padded))]
+
+    whole, classes = set(), {"t": Counter(), "o": Counter()}
+    for text, f, y in texts:
+        for w in text.split():
+            whole |= set(windows(w))
+            if fold is None or f == fold:
+                classes["t" if y else "o"].update(windows(w))
+    seen = {k: {g[-k:] for g in whole} for k in range(1, n + 1)}
+    ratio = 0.0
+    for g in windows(word):
+        p = 1e-4
+        for k in range(1, n):
+            ends = Counter(x[1:] for x in seen[k + 1])  # different grams one longer that end in each
+            context = {x: ends[x] for x in seen[k] if x[:-1] == g[-k:-1]}
+            if total := sum(context.values()):
+                p = (max(ends[g[-k:]] - d, 0) + d * len(context) * p) / total
+        logs = []
+        for c in (classes["t"], classes["o"]):
+            context = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+            logs.append(np.log((max(c[g] - d, 0) + d * (len(context) + 1) * p) / (sum(context.values()) + d)))
+        ratio += logs[0] - logs[1]
+    return ratio
+
+
+def test_log_ratio_is_the_plain_one(spark):
+    rng = np.random.default_rng(4)
+    texts = [(" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 11))) for _ in range(12)), int(f), int(y)) for f in (0, 1) for y in (0, 1) for _ in range(3)]
+    words = toxicity.word_counts(spark.createDataFrame(texts, "text string, fold int, y int"))
+    paths = toxicity.tables(common.cut(toxicity.gram_counts(words)))
+    asked = ["a", "abcabcab", "ééé", "zzz", "abz", *texts[0][0].split()[:4], *texts[-1][0].split()[:4], "abcaabcbé"]
+    whole, halves = toxicity.Model(paths, False), toxicity.Model(paths, True)
+    assert np.allclose(whole.log_ratio(asked), [plain_log_ratio(texts, w) for w in asked], atol=1e-9)
+    for fold in (0, 1):
+        assert np.allclose(halves.log_ratio(asked, fold), [plain_log_ratio(texts, w, fold) for w in asked], atol=1e-9)
