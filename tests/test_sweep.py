@@ -142,3 +142,13 @@ def test_null_keys_and_times(spark):
     got = sweep.sweep(rows, ["team"], ["id"], ["v"], Sum, "n long").collect()
     assert sorted((r.id, r.n) for r in got) == [("q", 0), ("r", 0), ("s", 0), ("u", 2)]
     assert sweep.sweep(rows.limit(0), ["team"], ["id"], ["v"], Sum, "n long").collect() == []
+
+
+def test_short_history_is_part_of_the_whole(spark):
+    r = history.team_rows(table(spark, games(3, n=120)))
+    key = lambda x: (x.match_id, x.side)
+    whole = {key(x): x for x in history.side_history(r, [5]).collect()}
+    counts = {key(x): x.n for x in history.prefix(r.select("match_id", "side", "team", "k"), r, ["team"], F.col("k"), history.known_from(), sums={"n": F.lit(1)}).collect()}
+    for x in history.short_history(r, 5, ["goals_for", "win"], ["goal_diff"]).collect():
+        y = whole[key(x)]
+        assert (x.days_rest, x.goals_for_roll5, x.win_roll5, x.goal_diff_ewm) == (y.days_rest, y.goals_for_roll5, y.win_roll5, y.goal_diff_ewm) and x.prior_matches == counts[key(x)]

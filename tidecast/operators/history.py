@@ -177,6 +177,22 @@ class Recent:
         self.a = max((x for x in (self.a, earlier.a) if x is not None), default=None)
 
 
+class Counted:
+    """The number of known results."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def add(self, row: tuple) -> None:
+        self.n += 1
+
+    def answer(self, row: tuple) -> list:
+        return [self.n]
+
+    def merge(self, earlier: Counted) -> None:
+        self.n += earlier.n
+
+
 def swept(rows: DataFrame, stats: Sequence[str], start, out: str) -> DataFrame:
     """``match_id, side`` and ``out``: a sweep by team, each row once as a query at kickoff and once as an event when known."""
     ask = F.struct(F.col("k").alias("t"), F.lit(QUERY).alias("tag"))
@@ -231,6 +247,15 @@ def side_history(rows: DataFrame, windows: Sequence[int], stats: Sequence[str] =
     return out.withColumn("history_available_at", F.timestamp_micros("__a")).drop("__a")
 
 
+def short_history(rows: DataFrame, window: int, stats: Sequence[str], decayed: Sequence[str], half_life_days: float = 365.0) -> DataFrame:
+    """``match_id, side`` with rest, number of known results, decayed means of ``decayed`` and last-n means of ``stats``: one sweep."""
+    every = list(dict.fromkeys([*stats, *decayed]))
+    place = {c: Known.STATS + i for i, c in enumerate(every)}
+    names = doubles([*(f"{s}_ewm" for s in decayed), *(f"{s}_roll{window}" for s in stats)])
+    start = lambda: All(Recent(), Counted(), Decayed([place[c] for c in decayed], half_life_days), Last([place[c] for c in stats], [window]))
+    return swept(rows, every, start, f"days_rest double, __a long, prior_matches long, {names}").drop("__a")
+
+
 def rolling_features(matches: DataFrame, windows: Sequence[int] = (5, 10), *, half_life_days: float = 365.0, available_col: str = "available_at", elo=None) -> DataFrame:
     """``match_id`` with every rolling column of both sides and their differences (team1 minus team2)."""
     long = side_history(team_rows(matches, available_col, elo), windows, STATS, half_life_days)

@@ -14,7 +14,7 @@ from ..operators import standings as T
 from ..operators.calibration import Ensemble, Isotonic, Sigmoid, Temperature, blend_weights
 from ..operators.asof import widen
 from ..operators.boosting import BoostedClasses
-from ..operators.history import prior_counts, side_history, team_rows
+from ..operators.history import short_history, team_rows
 from ..operators.models import DixonColes, Multinomial, TwoPoisson, TwoStage, elo_baseline, fit_rho, load_state, save_model
 from ..operators.ratings import elo_features
 from ..operators.scorers import scorer_features
@@ -258,10 +258,10 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
     """Features of all matches, written once per query so that fits read them and not the history again."""
     m = matches(spark, d).withColumns({"outcome": C.outcome(), "neutral_int": F.col("neutral").cast("int"), "tournament_importance": C.importance()})
     rows = team_rows(m)
-    long = side_history(rows, [5], ["goals_for", "win", "goal_diff"])
     names = ["days_rest", "goal_diff_ewm", "goals_for_roll5", "win_roll5"]
-    form = widen(long, names).select("match_id", *((F.col(f"team1_{c}") - F.col(f"team2_{c}")).alias(f"{c}_diff") for c in names))
-    wide = m.join(elo_features(m).select("match_id", "elo_diff_pre", "elo_exp_team1"), "match_id").join(form, "match_id").join(prior_counts(m).select("match_id", "prior_matches_min"), "match_id")
+    both = widen(short_history(rows, 5, ["goals_for", "win"], ["goal_diff"]), [*names, "prior_matches"])
+    form = both.select("match_id", F.least("team1_prior_matches", "team2_prior_matches").alias("prior_matches_min"), *((F.col(f"team1_{c}") - F.col(f"team2_{c}")).alias(f"{c}_diff") for c in names))
+    wide = m.join(elo_features(m).select("match_id", "elo_diff_pre", "elo_exp_team1"), "match_id").join(form, "match_id")
     path = scratch(spark, "model_table")
     wide.select("match_id", F.col("kickoff_utc").cast("timestamp").alias("kickoff_utc"), "outcome", "team1_goals", "team2_goals", *COLUMNS).write.parquet(path)
     return spark.read.parquet(path)
