@@ -318,3 +318,27 @@ def test_boosted_classes_against_plain_boosting(spark):
         want = np.where(left, -0.3 * g[left].sum() / (h[left].sum() + 1), -0.3 * g[~left].sum() / (h[~left].sum() + 1))
         got = one.trees[0][k].scores(one.binned(x))
         assert np.allclose(got, want)
+
+
+def test_low_score_correction_against_a_fine_grid(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(0.5, 2, 3000), rng.uniform(0.4, 1.6, 3000)
+    g = np.stack([rng.poisson(a), rng.poisson(b)], 1)
+    low = (g <= 1).all(1)
+    keep = ~low | (g[:, 0] == g[:, 1]) | (rng.random(3000) < 0.7)  # draws are more frequent than independent goals have them
+    a, b, g = a[keep], b[keep], g[keep]
+    df = spark.createDataFrame([(float(x), float(y), int(m), int(n)) for x, y, (m, n) in zip(a, b, g)], "lambda1 double, lambda2 double, team1_goals int, team2_goals int")
+
+    def gain(r):
+        tau = np.select([(g == [0, 0]).all(1), (g == [0, 1]).all(1), (g == [1, 0]).all(1), (g == [1, 1]).all(1)], [1 - a * b * r, 1 + a * r, 1 + b * r, np.full(len(a), 1 - r)], 1.0)
+        return np.log(np.maximum(tau, 1e-10)).sum()
+
+    grid = np.linspace(-0.2, 0.2, 8001)
+    best = grid[int(np.argmax([gain(r) for r in grid]))]
+    assert models.fit_rho(df) == pytest.approx(best, abs=2e-4) and abs(best) > 0.02
+
+
+def test_elo_baseline_is_the_model_of_its_columns(spark, rows):
+    named = rows.withColumnsRenamed({"a": "elo_diff_pre", "b": "days_rest_diff"})
+    p = probabilities(models.elo_baseline(["x", "days_rest_diff", "elo_diff_pre"]).fit(named).predict(named))
+    assert np.allclose(p, probabilities(models.Multinomial(["elo_diff_pre", "days_rest_diff"]).fit(named).predict(named)), atol=1e-6)

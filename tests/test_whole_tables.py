@@ -102,3 +102,25 @@ def test_opponents_rating_adjusts_the_goal_difference(spark):
     want = 0 + (pre["2"].elo_team2_pre - 1500) / 400  # a's last match before the fourth was that with c
     both = (1.0 + (pre["1"].elo_team2_pre - 1500) / 400 + want) / 2
     assert abs(table["4"].team1_opponent_adjusted_goal_diff_roll5 - both) < 1e-9
+
+
+def test_feature_table_holds_every_part(spark):
+    """Each column of the whole table is that of the operator it comes from (which brute force checks elsewhere), or follows from others of its row."""
+    from tidecast.operators import scorers
+
+    m, goals = view(spark, SF, "matches"), view(spark, SF, "goals")
+    key = lambda rows: {r.match_id: r for r in rows.collect()}
+    whole = key(features.feature_table(m, goals=goals, advanced=True))
+    elo = ratings.elo_features(m)
+    rated = m.join(elo, "match_id")
+    parts = [elo, history.rolling_features(rated, (5, 10), elo=("elo_team1_pre", "elo_team2_pre")), history.head_to_head(m), scorers.scorer_features(m, goals), history.prior_counts(m), ratings.online_strengths(m)]
+    seen = set()
+    for part in parts:
+        for k, r in key(part).items():
+            for c in part.columns:
+                x, y = r[c], whole[k][c]
+                assert x == y or (isinstance(x, float) and abs(x - y) < 1e-9), (k, c)
+        seen |= set(part.columns)
+    assert len(whole) == m.count() and len(seen) > 100
+    for r in list(whole.values())[:200]:
+        assert r.outcome == (2 if r.team1_goals > r.team2_goals else 1 if r.team1_goals == r.team2_goals else 0) and r.neutral_int == int(r.neutral)

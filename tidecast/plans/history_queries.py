@@ -10,7 +10,7 @@ from ..operators import history as H
 from ..operators import ratings as E
 from ..operators.scorers import NAMES, completeness, scorer_features
 from ..operators.squads import SQUAD_NUMBERS, snapshot_violations, squad_features, squad_rows
-from ..sources.fixtures import view
+from ..sources.fixtures import stored, view
 from .contract_queries import matches
 from .features import feature_table, form_and_rating
 from .registry import query, rounded
@@ -160,11 +160,11 @@ def j7_interval_join(spark, d):
 
 @query("with " + SCORERS + " select match_id, " + ", ".join(f"round(max(case when side = '{s}' then {n} end), 6) + 0.0 as {s}_scorer_{n}" for s in ("team1", "team2") for n in NAMES) + ", " + ", ".join(f"round(max(case when side = 'team1' then {n} end) - max(case when side = 'team2' then {n} end), 6) + 0.0 as scorer_{n}_diff" for n in NAMES) + " from lng group by match_id", "matches", "goals")
 def w10_scorer_features(spark, d):
-    return rounded(scorer_features(matches(spark, d), view(spark, d, "goals"), available_col=LATE))
+    return rounded(scorer_features(stored(spark, d, "matches"), view(spark, d, "goals"), available_col=LATE))
 
 
 def rows(spark, d):
-    return H.team_rows(matches(spark, d), LATE)
+    return H.team_rows(stored(spark, d, "matches"), LATE)
 
 
 LAST = ["goals_for", "goals_against", "goal_diff", "win", "draw", "clean_sheet", "failed_to_score"]
@@ -211,7 +211,7 @@ W6_SQL = f"with {HIST}, x as (select match_id, side, max(k) - max(hk) as rest, a
 
 @query(W6_SQL, "matches")
 def w6_side_differences(spark, d):
-    return rounded(H.rolling_features(matches(spark, d), [5], available_col=LATE).select("match_id", "days_rest_diff", "goals_for_roll5_diff"))
+    return rounded(H.rolling_features(stored(spark, d, "matches"), [5], available_col=LATE).select("match_id", "days_rest_diff", "goals_for_roll5_diff"))
 
 
 @query("""select match_id, 'team1' as side, team1 as team, round(team1_goals - team2_goals + (1500 + elo_gap - 1500) / 400, 6) + 0.0 as adjusted from (select m.*, elo_gap from matches m join preds p on p.match_id = m.match_id)
@@ -274,7 +274,7 @@ def w12_elo_momentum(spark, d):
 
 @query()
 def w13_online_strengths(spark, d):
-    return rounded(E.online_strengths(matches(spark, d)))
+    return rounded(E.online_strengths(stored(spark, d, "matches")))
 
 
 @query()
@@ -283,13 +283,13 @@ def w11_pools(spark, d):
     from ..sources.scratch import scratch
 
     scratch(spark, "pools")  # sets the checkpoint folder
-    return E.team_pools(matches(spark, d))
+    return E.team_pools(stored(spark, d, "matches"))
 
 
 @query()
 def feature_table_full(spark, d):
     """The whole feature table: every history, rating, ranking, squad, scorer and context column."""
-    return rounded(feature_table(matches(spark, d), rankings=rankings(spark, d), goals=view(spark, d, "goals"), players=view(spark, d, "players"), advanced=True))
+    return rounded(feature_table(stored(spark, d, "matches"), rankings=rankings(spark, d), goals=view(spark, d, "goals"), players=view(spark, d, "players"), advanced=True))
 
 
 FLAGSHIP = f"""with {SIDES.replace('late_available_at', 'available_at')},
@@ -302,4 +302,4 @@ asof left join ratings a on m.team1 = a.team and m.kickoff_utc > a.rating_date a
 
 @query(FLAGSHIP, "matches", "ratings")
 def flagship_form_and_rating(spark, d):
-    return rounded(form_and_rating(matches(spark, d), ratings(spark, d)))
+    return rounded(form_and_rating(stored(spark, d, "matches"), ratings(spark, d)))

@@ -18,7 +18,7 @@ from ..operators.history import short_history, team_rows
 from ..operators.models import DixonColes, Multinomial, TwoPoisson, TwoStage, elo_baseline, fit_rho, load_state, save_model
 from ..operators.ratings import elo_features
 from ..operators.scorers import scorer_features
-from ..sources.fixtures import view
+from ..sources.fixtures import stored, view
 from ..sources.scratch import scratch
 from .contract_queries import matches, preds
 from .registry import query, rounded
@@ -256,7 +256,7 @@ COLUMNS = ["elo_diff_pre", "elo_exp_team1", "neutral_int", "tournament_importanc
 
 def model_table(spark: SparkSession, d: str) -> DataFrame:
     """Features of all matches, written once per query so that fits read them and not the history again."""
-    m = matches(spark, d).withColumns({"outcome": C.outcome(), "neutral_int": F.col("neutral").cast("int"), "tournament_importance": C.importance()})
+    m = stored(spark, d, "matches").withColumns({"outcome": C.outcome(), "neutral_int": F.col("neutral").cast("int"), "tournament_importance": C.importance()})
     rows = team_rows(m)
     names = ["days_rest", "goal_diff_ewm", "goals_for_roll5", "win_roll5"]
     both = widen(short_history(rows, 5, ["goals_for", "win"], ["goal_diff"]), [*names, "prior_matches"])

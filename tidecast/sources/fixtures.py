@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import scratch
+
 VIEWS = {
     # one row per order that at least two suppliers share
     "matches": """
@@ -72,6 +74,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in set(re.findall(r"{(\w+)}", text))})
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view, written once for operators that pass over their input several times."""
+    path = scratch(spark, name)
+    view(spark, sf_dir, name).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB text: ``sql`` behind the views it names (and those they need)."""
     need: list[str] = []
