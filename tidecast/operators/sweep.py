@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import shared_folder
+
 #: Rows of a key up to which it is swept as one; beyond, it is cut at quantiles of its times, CUTS at most.
 SWEEP_ROWS = 2_000_000
 CUTS = 256
+#: Up to so many large keys, each with CUTS times at most, are broadcast.
+BROADCAST_KEYS = 1_000
 QUERY, EVENT, CARRY = 0, 1, -1
 
 
@@ -40,16 +44,20 @@ def stretches(rows: DataFrame, key: Sequence[str]) -> DataFrame | None:
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= SWEEP_ROWS:
         return None
-    large = sizes.where(F.col("__n") > SWEEP_ROWS)
-    same = None
-    for k in key:
-        same = F.col(k).eqNullSafe(F.col(f"__k_{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    shared_folder(rows.sparkSession)
+    large = small_side(sizes.where(F.col("__n") > SWEEP_ROWS).checkpoint())
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key]
     side = large.select(*(F.col(k).alias(f"__k_{k}") for k in key), "__n")
     quantiles = F.percentile_approx("t", F.array(*(F.lit(i / CUTS) for i in range(1, CUTS))), 4 * CUTS)
     found = rows.join(side, same).groupBy(*key).agg(quantiles.alias("q"), F.first("__n").alias("__n"))
     # every so many quantiles, as the rows of the key need
     every = F.greatest(F.lit(1), F.floor(F.lit(float(CUTS * SWEEP_ROWS)) / F.col("__n")).cast("int"))
-    return found.select(*key, F.array_distinct(F.filter("q", lambda _, i: (i + 1) % every == 0)).alias("__cuts"))
+    return small_side(found.select(*key, F.array_distinct(F.filter("q", lambda _, i: (i + 1) % every == 0)).alias("__cuts")).checkpoint())
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """Large keys (materialised), broadcast where they are few, so that their rows are not shuffled by key to be marked."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def sweep(rows: DataFrame, key: Sequence[str], ident: Sequence[str], columns: Sequence[str], start: Callable[[], State], out: str) -> DataFrame:
