@@ -43,6 +43,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: A task of a round has about so many edges at least.
+EDGES = 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs) as ``(node, component)``.
 
@@ -62,6 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = state(e)
     while seen[0]:
+        e = e.coalesce(max(1, seen[0] // EDGES))  # few edges make no many small files a round
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
