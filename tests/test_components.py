@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tidecast.operators import ratings
+from tidecast.operators import ratings, sweep
 
 from .test_ratings import collected, same, season, table
 
@@ -53,3 +53,12 @@ def test_components_are_sought_once(spark, monkeypatch):
     monkeypatch.setattr(ratings, "SLICE_ROWS", 60)
     same(whole, collected(ratings.elo_features(m)))
     assert len(calls) == 1
+
+
+def test_values_of_columns_without_scalars():
+    columns = [
+        pa.array([1, None, -(2**62)], pa.int64()), pa.array([1, 2, 3], pa.int32()), pa.array([0.5, None, float("inf")]), pa.array([True, None, False]), pa.array([True, False]),
+        pa.array(["a", None, "é"]), pa.array([b"x", None]), pa.array([None, None], pa.float64()), pa.array([], pa.string()), pa.array([1, None, 3]).slice(1),
+    ]
+    for c in columns:
+        assert [(type(x), x) for x in sweep.values(c)] == [(type(x), x) for x in c.to_pylist()]
