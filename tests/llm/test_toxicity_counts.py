@@ -84,3 +84,21 @@ def test_log_ratio_is_the_plain_one(spark):
     assert np.allclose(whole.log_ratio(asked), [plain_log_ratio(texts, w) for w in asked], atol=1e-9)
     for fold in (0, 1):
         assert np.allclose(halves.log_ratio(asked, fold), [plain_log_ratio(texts, w, fold) for w in asked], atol=1e-9)
+
+
+def test_workers_give_back_freed_memory():
+    import numpy as np
+
+    from tidecast.llm.common import give_back
+
+    def resident():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) // 1024 for line in f if line.startswith("VmRSS"))
+
+    kept = []
+    pieces = [np.ones(6_000) for _ in range(4_000)]  # each too small to be mapped on its own: 190 MB
+    kept.append(pieces.pop())
+    high = resident()
+    del pieces
+    give_back()
+    assert kept and resident() < high - 150

@@ -22,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 FILTER_BITS = 22
 #: Characters of benchmark items in one index (about 25 bytes each, broadcast), and how many indexes are alive at once.
@@ -369,6 +369,7 @@ def decontaminate(
                 for _, texts in batches_of(batch.column(at).to_pylist()):
                     clean += [not found for found in own.search(texts)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            give_back()
 
         return rows.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, give_back
 from .simhash import majority, near_duplicates, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -80,6 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys = pa.array([band_keys(m).view(np.int64) if len(s) else np.zeros(0, np.int64) for s, m in zip(sets, least)], pa.list_(pa.int64()))
                 mins = pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary())
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(nodes), pa.array(prints), keys, mins], names=["doc_id", "th", "same", "node", "fp", "keys", "mins"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, th long, same binary, node long, fp long, keys array<long>, mins binary")
 

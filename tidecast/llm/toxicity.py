@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, held_out, shared_root
+from .common import bounded_sample, cut, give_back, held_out, shared_root
 from .quality import label_rows
 
 #: Lengths of the character grams, from the shared model's shortest to the class models'.
@@ -222,6 +222,7 @@ class Model:
     def let_go(cls) -> None:
         if not cls._users:
             cls._held = (None, None)
+            give_back()
 
     def log_ratio(self, words: list[str], fold: int | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
