@@ -342,3 +342,14 @@ def test_elo_baseline_is_the_model_of_its_columns(spark, rows):
     named = rows.withColumnsRenamed({"a": "elo_diff_pre", "b": "days_rest_diff"})
     p = probabilities(models.elo_baseline(["x", "days_rest_diff", "elo_diff_pre"]).fit(named).predict(named))
     assert np.allclose(p, probabilities(models.Multinomial(["elo_diff_pre", "days_rest_diff"]).fit(named).predict(named)), atol=1e-6)
+
+
+def test_finalise_fits_its_folds_in_the_same_passes(spark, monkeypatch):
+    from tidecast.plans import scoring_queries
+
+    def alone(*_, **__):
+        raise AssertionError("linear models are fitted one by one")
+
+    monkeypatch.setattr(scoring_queries.X, "backtest_log", alone)
+    rows = scoring_queries.m22_finalise(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.model, r.split) for r in rows} == {(m, s) for m in ("baseline", "logistic", "poisson", "blend") for s in ("validation", "holdout")}
