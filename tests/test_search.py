@@ -320,6 +320,38 @@ def test_boosted_classes_against_plain_boosting(spark):
         assert np.allclose(got, want)
 
 
+def test_boosting_compares_whole_columns():
+    """Nodes are those of a walk of each row, and no array as long as the batch serves to look rows up; batches may be slices of others."""
+    import pyarrow as pa
+
+    from tidecast.operators.boosting import BoostedClasses, Tree
+
+    class Bins(np.ndarray):
+        def __getitem__(self, key):
+            assert not (isinstance(key, tuple) and isinstance(key[0], np.ndarray)), "rows are looked up one by one"
+            return super().__getitem__(key)
+
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 9, (200, 4)).astype(np.uint8)
+    for _ in range(20):
+        tree = Tree(3)
+        tree.column, tree.cut, tree.values = rng.integers(-1, 4, 7), rng.integers(0, 8, 7), rng.normal(size=8)
+        for levels in range(4):
+            want = []
+            for row in bins:
+                at = 0
+                for level in range(levels):
+                    i = at + 2**level - 1
+                    at = 2 * at + int(tree.column[i] >= 0 and row[tree.column[i]] > tree.cut[i])
+                want.append(at)
+            assert np.asarray(tree.nodes(bins.view(Bins), levels)).tolist() == want
+    start = rng.normal(size=(200, 3))
+    batch = pa.record_batch([pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([1] * 200, pa.int32()), pa.array([1.0] * 200), pa.array([s.tobytes() for s in start], pa.binary())], names=["b", "y", "w", "s"])
+    got, score = BoostedClasses(list("abcd")).read(batch.slice(30, 50), [[tree] * 3])
+    assert got.tolist() == bins[30:80].tolist() and np.array_equal(score, start[30:80] + tree.scores(bins[30:80])[:, None])
+    assert got.flags.f_contiguous
+
+
 def test_low_score_correction_against_a_fine_grid(spark):
     rng = np.random.default_rng(6)
     a, b = rng.uniform(0.5, 2, 3000), rng.uniform(0.4, 1.6, 3000)
