@@ -264,12 +264,12 @@ def w14_global_rate(spark, d):
 
 @query()
 def w11_elo(spark, d):
-    return rounded(E.elo_features(matches(spark, d)).select("match_id", "elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance"))
+    return rounded(E.elo_features(matches(spark, d), windows=(), columns=["elo_team1_pre", "elo_team2_pre", "elo_diff_pre", "elo_exp_team1", "elo_importance"]))
 
 
 @query()
 def w12_elo_momentum(spark, d):
-    return rounded(E.elo_features(matches(spark, d), windows=(5, 10)).select("match_id", "elo_momentum_roll5_diff", "elo_momentum_roll10_diff"))
+    return rounded(E.elo_features(matches(spark, d), windows=(5, 10), columns=["elo_momentum_roll5_diff", "elo_momentum_roll10_diff"]))
 
 
 @query()
